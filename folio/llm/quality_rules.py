@@ -47,9 +47,10 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     spaces = sum((_count(text, c) for c in _SPACE_CHARS), F.lit(0))
     caps = lambda w: F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1)))
+    odd = lambda w: F.size(F.filter(w, lambda x: x.rlike(f"[{SYMBOLS}]")))
     of_words = let(
         words(F.col("text"), SPACES),
-        lambda w: F.struct(F.size(w).alias("n_words"), caps(w).alias("n_caps"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _covered(h, 3)).alias("n_repeat_words")),
+        lambda w: F.struct(F.size(w).alias("n_words"), caps(w).alias("n_caps"), odd(w).alias("n_odd"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _covered(h, 3)).alias("n_repeat_words")),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     out = docs.select(
@@ -61,7 +62,7 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         _count(text, "!").cast("long").alias("n_bangs"),
         (_count(text, ".") + _count(text, ",")).cast("long").alias("n_stops"),
     )
-    whole = [F.col(f"_w.{c}").cast("long").alias(c) for c in ("n_words", "n_caps", "n_repeat_words")] + [F.col(f"_l.{c}").cast("long").alias(c) for c in ("n_lines", "n_dup_lines")]
+    whole = [F.col(f"_w.{c}").cast("long").alias(c) for c in ("n_words", "n_caps", "n_odd", "n_repeat_words")] + [F.col(f"_l.{c}").cast("long").alias(c) for c in ("n_lines", "n_dup_lines")]
     return out.select(*keep, *whole, "word_chars", "n_symbols", "n_bangs", "n_stops")
 
 
@@ -80,6 +81,7 @@ def rules() -> dict[str, Column]:
     own = {
         "word_length": _vote(per_word("word_chars"), (3, 9), (2, 14)),
         "symbols": _vote(per_word("n_symbols"), (0, 0.03), (0, 0.15)),
+        "symbol_words": _vote(per_word("n_odd"), (0, 0.02), (0, 0.1)),
         "capitals": _vote(per_word("n_caps"), (0, 0.1), (0, 0.35)),
         "exclamations": _vote(per_word("n_bangs"), (0, 0.05), (0, 0.25)),
         "stops": _vote(per_word("n_stops"), (0.02, 0.6), (0.005, 1.5)),

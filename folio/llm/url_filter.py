@@ -48,7 +48,7 @@ def by_rules(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "parameter_length", "fragment", "suffix_rate", "suffix_count")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "parameter_length", "fragment", "suffix_rate", "suffix_count", "segment_rate")
 
 
 def _entropy(text: str) -> float:
@@ -71,6 +71,11 @@ def _split(url: str | None) -> tuple[str, str, str, str]:
     return host, slash + path, query, fragment
 
 
+def segment(path: str) -> str:
+    """The first segment of a path."""
+    return path[1:].partition("/")[0]
+
+
 @dataclass
 class UrlModel:
     """Boosted trees of one depth: split feature and threshold by node, value by leaf, for each tree."""
@@ -78,6 +83,7 @@ class UrlModel:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     bias: float = 0.0
     suffixes: dict[str, tuple[float, float]] = field(default_factory=dict)
+    segments: dict[str, tuple[float, float]] = field(default_factory=dict)
     prior: float = 0.5
 
     def features(self, urls: list[str | None]) -> np.ndarray:
@@ -87,7 +93,7 @@ class UrlModel:
             text = url or ""
             rate, count = self.suffixes.get(suffix(host), (self.prior, 0.0))
             digits = sum(c.isdigit() for c in text)
-            rows.append((len(text), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(text)), sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host), query.count("=") + query.count("&"), len(query), len(fragment), rate, count))
+            rows.append((len(text), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(text)), sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host), query.count("=") + query.count("&"), len(query), len(fragment), rate, count, self.segments.get(segment(path), (self.prior, 0.0))[0]))
         return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -106,13 +112,19 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3,
     y = np.array(blocked, dtype=float)
     if not len(y) or y.min() == y.max():
         return UrlModel(bias=20.0 if len(y) and y[0] else -20.0)
-    prior = y.mean()
-    sums: dict[str, list[float]] = {}
-    for url, label in zip(urls, y):
-        s = sums.setdefault(suffix(_split(url)[0]), [0.0, 0.0])
-        s[0] += label
-        s[1] += 1
-    model = UrlModel(bias=float(np.log(prior / (1 - prior))), prior=float(prior), suffixes={k: ((a + smooth * prior) / (n + smooth), float(np.log1p(n))) for k, (a, n) in sums.items()})
+    prior = 0.5
+    weight = np.where(y > 0, prior / y.mean(), prior / (1 - y.mean()))  # both kinds weigh the same
+
+    def rates(keys: list[str]) -> dict[str, tuple[float, float]]:
+        sums: dict[str, list[float]] = {}
+        for key, label, w in zip(keys, y, weight):
+            s = sums.setdefault(key, [0.0, 0.0])
+            s[0] += label * w
+            s[1] += w
+        return {k: ((a + smooth * prior) / (n + smooth), float(np.log1p(n))) for k, (a, n) in sums.items()}
+
+    parts = [_split(u) for u in urls]
+    model = UrlModel(prior=prior, suffixes=rates([suffix(h) for h, *_ in parts]), segments=rates([segment(p) for _, p, *_ in parts]))
     x = model.features(urls)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = [np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)]
@@ -120,7 +132,7 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3,
     inner = 2**depth - 1
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = weight * (p - y), weight * p * (1 - p)
         node = np.zeros(len(y), dtype=np.intp)
         feature, threshold = np.zeros(inner, dtype=np.intp), np.full(inner, np.inf)
         for k in range(inner):
