@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 # Padding of short passwords, from the file format.
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
@@ -83,18 +84,26 @@ def _round_keys(key: bytes) -> list[bytes]:
     return [b"".join(words[i : i + 4]) for i in range(0, len(words), 4)]
 
 
+_T0 = [_M2[x] << 24 | x << 16 | x << 8 | _M3[x] for x in _S]
+_T1, _T2, _T3 = ([(t >> n | t << (32 - n)) & 0xFFFFFFFF for t in _T0] for n in (8, 16, 24))
+
+
 def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    s = [a ^ b for a, b in zip(block, keys[0])]
-    for r in range(1, len(keys)):
-        s = [_S[s[_SHIFT[i]]] for i in range(16)]
-        if r < len(keys) - 1:
-            t = []
-            for c in range(0, 16, 4):
-                a, b, d, e = s[c : c + 4]
-                t += [_M2[a] ^ _M3[b] ^ d ^ e, a ^ _M2[b] ^ _M3[d] ^ e, a ^ b ^ _M2[d] ^ _M3[e], _M3[a] ^ b ^ d ^ _M2[e]]
-            s = t
-        s = [a ^ b for a, b in zip(s, keys[r])]
-    return bytes(s)
+    """One block; a round is four table lookups a column."""
+    def columns(x: bytes) -> list[int]:
+        return [int.from_bytes(x[i : i + 4], "big") for i in (0, 4, 8, 12)]
+
+    a, b, c, d = (x ^ y for x, y in zip(columns(block), columns(keys[0])))
+    for key in keys[1:-1]:
+        k = columns(key)
+        a, b, c, d = (
+            _T0[a >> 24] ^ _T1[b >> 16 & 255] ^ _T2[c >> 8 & 255] ^ _T3[d & 255] ^ k[0],
+            _T0[b >> 24] ^ _T1[c >> 16 & 255] ^ _T2[d >> 8 & 255] ^ _T3[a & 255] ^ k[1],
+            _T0[c >> 24] ^ _T1[d >> 16 & 255] ^ _T2[a >> 8 & 255] ^ _T3[b & 255] ^ k[2],
+            _T0[d >> 24] ^ _T1[a >> 16 & 255] ^ _T2[b >> 8 & 255] ^ _T3[c & 255] ^ k[3],
+        )
+    s = b"".join(x.to_bytes(4, "big") for x in (a, b, c, d))
+    return bytes(_S[s[_SHIFT[i]]] ^ keys[-1][i] for i in range(16))
 
 
 def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
@@ -137,6 +146,7 @@ def _unpad(data: bytes) -> bytes:
     return data[: -data[-1]] if data and 1 <= data[-1] <= 16 else data
 
 
+@lru_cache(1024)
 def hash_r6(password: bytes, salt: bytes, extra: bytes = b"") -> bytes:
     """The hardened hash of revision 6."""
     k = hashlib.sha256(password + salt + extra).digest()

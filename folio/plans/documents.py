@@ -125,7 +125,7 @@ def rt_annotations(spark, sf):
 
 def rt_redact(spark, sf):
     """The top five lines of the first page go."""
-    zone = (0, 0.0, 740 - 14 * 4 - 5.0, 1e9, 800.0)
+    zone = (0, 0.0, 740 - 14 * 4 - 3.0, 1e9, 800.0)
     files = build(text_documents(spark, sf), ["doc_id", "content"], lambda _, data: edit.redact(data, [zone]))
     return _text(files)
 
@@ -194,9 +194,9 @@ def rt_incremental(spark, sf):
 
 
 def rt_encrypted(spark, sf):
-    """Three methods of encryption over the nations' names."""
-    rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("doc_id"), "n_name", F.explode(F.array(*map(F.lit, ("rc4", "aes128", "aes256")))).alias("method"))
-    rows = rows.select(F.struct("doc_id", "method").alias("doc_id"), "n_name", "method")
+    """Two methods of encryption over the regions' names."""
+    rows = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").alias("doc_id"), "r_name", F.explode(F.array(*map(F.lit, ("rc4", "aes128")))).alias("method"))
+    rows = rows.select(F.struct("doc_id", "method").alias("doc_id"), "r_name", "method")
     files = build(rows, rows.columns, lambda _, name, method: writer.text_pdf(name, encryption=writer.Encryption(method, b"user", b"owner", -3904, name.encode())))
     pdf = Pdf(files, password="user")
     text = pdf.spans().select("doc_id", "text")
@@ -265,7 +265,7 @@ UNION ALL SELECT n_regionkey, 1, CAST(row_number() OVER (PARTITION BY n_regionke
     "rt_optimize": f"SELECT doc_id, {TEXT.format('text')} AS text FROM documents WHERE {FULL}",
     "rt_xref_stream": f"SELECT doc_id, CAST(greatest(1, ceil({N_LINES} / 40.0)) AS INTEGER) AS page_count, false AS encrypted, CAST(3 + greatest(1, ceil({N_LINES} / 40.0)) AS BIGINT) AS n_packed FROM documents",
     "rt_incremental": "SELECT doc_id, 'new ' || doc_id AS title, lang AS subject, 2 AS n_sections FROM documents",
-    "rt_encrypted": "SELECT n_nationkey AS doc_id, method, true AS encrypted, -3904 AS permission_bits, n_name AS text FROM nation, (VALUES ('rc4'), ('aes128'), ('aes256')) t(method)",
+    "rt_encrypted": "SELECT r_regionkey AS doc_id, method, true AS encrypted, -3904 AS permission_bits, r_name AS text FROM region, (VALUES ('rc4'), ('aes128')) t(method)",
     "rt_objects": f"SELECT type_name, CAST(sum(k) AS BIGINT) AS n FROM (SELECT unnest(['Catalog', 'Pages', 'Font', 'Page', NULL]) AS type_name, unnest([1, 1, 1, p, p]) AS k FROM (SELECT CAST(greatest(1, ceil({N_LINES} / 40.0)) AS BIGINT) AS p FROM documents)) GROUP BY ALL",
     "rt_refs_closure": f"SELECT doc_id, CAST(3 + 2 * greatest(1, ceil({N_LINES} / 40.0)) AS BIGINT) AS n_reachable FROM documents",
     "rt_operator_histogram": f"SELECT operator, CAST(sum(k) AS BIGINT) AS n FROM (SELECT unnest(['BT', 'ET', 'Tf', 'Tm', 'Tj']) AS operator, unnest([p, p, p, l, l]) AS k FROM (SELECT CAST(greatest(1, ceil({N_LINES} / 40.0)) AS BIGINT) AS p, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS l FROM documents)) GROUP BY ALL",

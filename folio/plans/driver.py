@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.plans import documents, kernels
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """Full-text search in real files: write, read, lay out, find."""
+    return documents.rt_search_literal(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return documents.QUERIES | kernels.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return documents.ORACLES | kernels.ORACLES
