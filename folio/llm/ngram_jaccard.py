@@ -11,10 +11,11 @@ when intersection / union >= percent / 100. The join is size-aware:
 * Large sets scan inverted lists. Elements are ordered, those that very many
   sets hold last, and a set enters the lists of its first
   ``n - ceil(percent n / 100) + 1`` elements; two linked sets meet in one list.
-  Each list is first checked against its first members (``rounds`` of them) and
+  Each list is first checked against its leading members (``rounds`` of them) and
   links are contracted; then the members that are still in different components
   are compared, all of them, so nothing is capped. A group of near copies is one
-  component after the first round and never expands into its pairs.
+  component after the first round and never expands into its pairs. A pair is
+  checked element by element only if the two sets' parity maps allow a link.
 * The boundary between small and large is the one of least cost for the sizes
   that occur.
 
@@ -68,6 +69,16 @@ def class_id(s: np.ndarray) -> int | None:
     return int(W.mix(total).view(np.int64)[0])
 
 
+#: Bits of a set's parity map.
+BITS = 1024
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit map in which each element flips one bit: two maps differ in no more bits than the sets in elements."""
+    bit = (W.mix(s ^ np.uint64(0xBB67AE8584CAA73B)) & np.uint64(BITS - 1)).astype(np.intp)
+    return np.packbits(np.bincount(bit, minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -117,17 +128,18 @@ class NgramJaccard:
             yield from shingle_sets(chunk, self.k)
 
     def _classes(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, n_shingles, cid) of each row."""
+        """(doc_id, n_shingles, cid, bits) of each row."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, ids = [], []
+                n, ids, bits = [], [], []
                 for s in self._rows(batch["text"]):
                     n.append(len(s))
                     ids.append(class_id(s))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "cid"])
+                    bits.append(parity(s))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.int64()), W.lists(bits, pa.int64())], ["doc_id", "n_shingles", "cid", "bits"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, cid long")
+        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, cid long, bits array<long>")
 
     def _once(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
         """Class ids and sets, a batch at a time, without most repeats of a class within a task."""
@@ -240,6 +252,12 @@ class NgramJaccard:
             scratch.drop_before("labels")
             edges = apart
 
+    def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """Pairs (a, b) without those whose parity maps differ too much for a link."""
+        left, right = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
+        apart = " + ".join(f"bit_count(a_bits[{i}] ^ b_bits[{i}])" for i in range(BITS // 64))
+        return pairs.join(left, "a").join(right, "b").where(F.expr(f"{100 + self.percent}L * ({apart}) <= {100 - self.percent}L * (a_n + b_n)")).select("a", "b")
+
     def _linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
         left, right = (sets.select(F.col("cid").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
@@ -250,7 +268,7 @@ class NgramJaccard:
         """doc_id, n_shingles, component_id of each row."""
         scratch, percent = Scratch(docs.sparkSession, "jaccard"), self.percent
         rows = scratch.keep(self._classes(docs), "rows")
-        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
+        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
         sizes = {r.n: r["count"] for r in classes.where("n <= 64").groupBy("n").count().collect()}
         most = boundary(sizes, percent)
         lists = scratch.keep(self._lists(docs, self._heavy(docs, scratch), most), "lists")
@@ -262,8 +280,6 @@ class NgramJaccard:
         labels = self._contract(scratch, labels, scratch.keep(sure.select("a", F.col("cid").alias("b")).distinct(), "sure"))
 
         large = lists.where("pos >= 0")
-        involved = large.select("cid").distinct()
-        sets = scratch.keep(self._sets(docs, classes.join(involved, "cid", "left_semi").select("doc_id", "cid")), "sets")
         a = large.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("r"))
         b = large.select("h", F.col("cid").alias("b"), "n", "pos", "rank")
         # at most so many elements are common: those before the shared one and those from it on
@@ -275,10 +291,14 @@ class NgramJaccard:
             if turn > self.rounds:  # lists within one component are done
                 several = apart.groupBy("h").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("h")
                 apart, left = apart.join(several, "h", "left_semi"), left.join(several, "h", "left_semi")
-            pairs = scratch.keep(apart.join(left.join(x, "a"), "h").where("rank > r").where(may).select("a", "b").distinct(), "pairs")
+            met = apart.join(left.join(x, "a"), "h").where("rank > r").where(may).select("a", "b").distinct()
+            pairs = scratch.keep(self._near(met, classes), "pairs")
             if not pairs.isEmpty():
+                wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+                sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")), "sets")
                 labels = self._contract(scratch, labels, scratch.keep(self._linked(pairs, sets), "links"))
-        scratch.drop("lists", "sets")
+                scratch.drop("sets")
+        scratch.drop("lists")
 
         named = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
         least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
