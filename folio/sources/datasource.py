@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
-from pyspark.sql.types import StructType
 
 from folio.core.extract import RELATIONS
 from folio.core.objects import Document
@@ -65,12 +64,14 @@ class FolioDataSource(DataSource):
     def name(cls) -> str:
         return "folio"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL("doc_id string, " + RELATIONS[self.options.get("relation", "docs")][1])
+    def schema(self) -> str:
+        return "doc_id string, " + RELATIONS[self.options.get("relation", "docs")][1]
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session and turns on pushed filters, which the reader needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FolioDataSource)
