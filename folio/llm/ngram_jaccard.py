@@ -215,7 +215,16 @@ class NgramJaccard:
         rows = docs.select("text").mapInArrow(run, "h long, cid long, n int, pos int")
         own = Window.partitionBy("h")
         shared_keys = rows.withColumns({"lo": F.min("cid").over(own), "hi": F.max("cid").over(own)}).where("lo <> hi").drop("lo", "hi")
-        return shared_keys.dropDuplicates(["h", "cid", "pos"]).withColumn("rank", F.row_number().over(own.orderBy("cid")))
+        return shared_keys.dropDuplicates(["h", "cid", "pos"])
+
+    def _ranked(self, lists: DataFrame) -> DataFrame:
+        """Adds a member's rank in its list: first those most of whose entries others share.
+
+        The text that copies were made from shares all its entries, while each
+        copy has some of its own; so it leads its lists and links to the copies.
+        """
+        share = lists.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
+        return lists.join(share, "cid").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("share"), "cid"))).drop("share")
 
     def _sets(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(cid, items) of wanted classes (doc_id, cid)."""
@@ -279,7 +288,8 @@ class NgramJaccard:
         sure = small.join(least, "h").where(F.expr(f"cid <> a AND -100L * pos >= {percent}L * (m + n + pos)"))
         labels = self._contract(scratch, labels, scratch.keep(sure.select("a", F.col("cid").alias("b")).distinct(), "sure"))
 
-        large = lists.where("pos >= 0")
+        large = scratch.keep(self._ranked(lists.where("pos >= 0")), "ranked")
+        scratch.drop("lists")
         a = large.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("r"))
         b = large.select("h", F.col("cid").alias("b"), "n", "pos", "rank")
         # at most so many elements are common: those before the shared one and those from it on
@@ -298,7 +308,7 @@ class NgramJaccard:
                 sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")), "sets")
                 labels = self._contract(scratch, labels, scratch.keep(self._linked(pairs, sets), "links"))
                 scratch.drop("sets")
-        scratch.drop("lists")
+        scratch.drop("ranked")
 
         named = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
         least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
