@@ -71,6 +71,8 @@ def class_id(s: np.ndarray) -> int | None:
 
 #: Bits of a set's parity map.
 BITS = 1024
+#: Bits kept in list entries: maps folded by exclusive or are parity maps too.
+FOLDED = 256
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -118,7 +120,7 @@ def boundary(counts: dict[int, int], percent: int) -> int:
 
 
 class NgramJaccard:
-    def __init__(self, k: int = K, percent: int = PERCENT, heavy_slots: int = 500_000, heavy_from: int = 16, rounds: int = 2):
+    def __init__(self, k: int = K, percent: int = PERCENT, heavy_slots: int = 500_000, heavy_from: int = 16, rounds: int = 6):
         self.k, self.percent, self.heavy_slots, self.heavy_from, self.rounds = k, percent, heavy_slots, heavy_from, rounds
 
     # ---- passes over the texts -------------------------------------------------
@@ -217,14 +219,16 @@ class NgramJaccard:
         shared_keys = rows.withColumns({"lo": F.min("cid").over(own), "hi": F.max("cid").over(own)}).where("lo <> hi").drop("lo", "hi")
         return shared_keys.dropDuplicates(["h", "cid", "pos"])
 
-    def _ranked(self, lists: DataFrame) -> DataFrame:
-        """Adds a member's rank in its list: first those most of whose entries others share.
+    def _ranked(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
+        """Adds a member's rank in its list, first those most of whose entries others share, and its parity map folded to 256 bits.
 
         The text that copies were made from shares all its entries, while each
         copy has some of its own; so it leads its lists and links to the copies.
         """
         share = lists.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
-        return lists.join(share, "cid").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("share"), "cid"))).drop("share")
+        words, step = BITS // 64, FOLDED // 64
+        folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, words, step))).alias(f"f{i}") for i in range(step)]
+        return lists.join(share.join(classes.select("cid", *folded), "cid"), "cid").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("share"), "cid"))).drop("share")
 
     def _sets(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(cid, items) of wanted classes (doc_id, cid)."""
@@ -288,26 +292,33 @@ class NgramJaccard:
         sure = small.join(least, "h").where(F.expr(f"cid <> a AND -100L * pos >= {percent}L * (m + n + pos)"))
         labels = self._contract(scratch, labels, scratch.keep(sure.select("a", F.col("cid").alias("b")).distinct(), "sure"))
 
-        large = scratch.keep(self._ranked(lists.where("pos >= 0")), "ranked")
+        large = scratch.keep(self._ranked(lists.where("pos >= 0"), classes), "ranked")
         scratch.drop("lists")
-        a = large.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("r"))
-        b = large.select("h", F.col("cid").alias("b"), "n", "pos", "rank")
+        folds = range(FOLDED // 64)
+        a = large.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("r"), *[F.col(f"f{i}").alias(f"g{i}") for i in folds])
+        b = large.select("h", F.col("cid").alias("b"), "n", "pos", "rank", *[f"f{i}" for i in folds])
         # at most so many elements are common: those before the shared one and those from it on
-        may = F.expr(f"100L * least(m, n) >= {percent}L * greatest(m, n) AND (100L + {percent}L) * (least(at, pos) + least(m - at, n - pos)) >= {percent}L * (m + n) AND x <> y")
-        for turn in range(1, self.rounds + 2):
+        differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in folds)
+        may = F.expr(f"x <> y AND rank > r AND 100L * least(m, n) >= {percent}L * greatest(m, n) AND (100L + {percent}L) * (least(at, pos) + least(m - at, n - pos)) >= {percent}L * (m + n) AND {100 + percent}L * ({differ}) <= {100 - percent}L * (m + n)")
+        turn, last = 1, self.rounds < 1
+        while True:
             x, y = labels.select(F.col("cid").alias("a"), F.col("comp").alias("x")), labels.select(F.col("cid").alias("b"), F.col("comp").alias("y"))
-            left = a.where(F.col("r") == turn) if turn <= self.rounds else a.where(F.col("r") >= turn)
-            apart = b.join(y, "b")
-            if turn > self.rounds:  # lists within one component are done
-                several = apart.groupBy("h").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("h")
-                apart, left = apart.join(several, "h", "left_semi"), left.join(several, "h", "left_semi")
-            met = apart.join(left.join(x, "a"), "h").where("rank > r").where(may).select("a", "b").distinct()
+            named = b.join(y, "b")
+            # lists within one component are done
+            several = named.groupBy("h").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("h")
+            left = a.where(F.col("r") >= turn) if last else a.where(F.col("r") == turn)
+            met = named.join(several, "h", "left_semi").join(left.join(x, "a"), "h").where(may).select("a", "b").distinct()
             pairs = scratch.keep(self._near(met, classes), "pairs")
-            if not pairs.isEmpty():
+            found = not pairs.isEmpty()
+            if found:
                 wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
                 sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")), "sets")
                 labels = self._contract(scratch, labels, scratch.keep(self._linked(pairs, sets), "links"))
                 scratch.drop("sets")
+            if last:
+                break
+            turn += 1
+            last = turn > self.rounds or not found
         scratch.drop("ranked")
 
         named = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
