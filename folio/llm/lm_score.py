@@ -35,7 +35,7 @@ from ._store import Scratch
 
 ORDER, ALPHA, UNSEEN = 2, 0.4, 0.5
 #: Rows in a block, and documents for each hash range.
-BLOCK_BITS, RANGE_DOCS = 11, 8192
+BLOCK_BITS, RANGE_DOCS = 10, 2048
 
 
 class _Block:
