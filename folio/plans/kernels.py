@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.core import filters
-from folio.functions import color, geometry, text
+from folio.functions import color, editing, geometry, text
 from folio.operators import graph, layout, search
 from folio.sources.pdf import flat_map
 
@@ -262,6 +262,35 @@ def s_real_and_name(spark, sf):
     return li.select("l_orderkey", "l_linenumber", text.real(F.col("l_discount") - 0.05).alias("real"), text.pdf_name(names).alias("name"))
 
 
+def k_caret_offsets(spark, sf):
+    """Carets of an order's quantities as advances, and the one nearest to 40."""
+    o = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))), lambda s: s.l_quantity).alias("w"))
+    c = o.select("l_orderkey", editing.caret_offsets(F.col("w")).alias("c"), editing.text_width(F.col("w")).alias("width"))
+    return c.select("l_orderkey", "width", editing.hit_test(F.col("c"), F.lit(40.0)).alias("hit"))
+
+
+def k_decorations(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", editing.decoration(F.col("p_size").cast("double")).alias("d")).select("p_partkey", _r("d.thickness").alias("thickness"), _r("d.underline").alias("underline"), _r("d.strike").alias("strike"))
+
+
+def k_wrap_lines(spark, sf):
+    """Part names wrapped to 12 characters: joined again they are the name, and no line of words that fit is too long."""
+    lines = editing.wrap(F.col("p_name"), F.lit(120.0), 10.0)
+    p = read(spark, sf, "part").select("p_partkey", lines.alias("l"))
+    return p.select("p_partkey", F.array_join("l", " ").alias("name"), F.exists("l", lambda x: (F.length(x) > 12) & x.contains(" ")).alias("too_long"))
+
+
+def k_xfdf_import(spark, sf):
+    name = F.concat(F.col("c_name"), F.lit(" <&> \""))
+    x = F.concat(F.lit('<xfdf><fields><field name="n"><value>'), text.xml_escape(name), F.lit('</value></field><field name="empty"></field><field name="s"><value>'), F.col("c_mktsegment"), F.lit("</value></field></fields></xfdf>"))
+    return read(spark, sf, "customer").select("c_custkey", F.explode(editing.xfdf_fields(x)).alias("f")).select("c_custkey", "f.name", "f.value")
+
+
+def k_xmp(spark, sf):
+    packet = F.concat(F.lit("<x><dc:title><rdf:Alt><rdf:li xml:lang='x-default'>"), F.col("source"), F.lit("</rdf:li></rdf:Alt></dc:title><pdf:Producer>"), F.col("lang"), F.lit("</pdf:Producer></x>"))
+    return read(spark, sf, "documents").select("doc_id", editing.xmp(packet).alias("m")).select("doc_id", "m.title", "m.producer", "m.creator")
+
+
 def x_event_windows(spark, sf):
     """Tumbling windows; Spark's own, not part of the document engine."""
     e = read(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
@@ -316,6 +345,11 @@ SELECT k, first, first + 40 AS "end" FROM (SELECT o_custkey % 100 AS k, o_orderk
     "s_xml_escape": f"SELECT page_id, md5({_XML}) AS md5, md5(html) AS back FROM pages",
     "s_text_strings": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN length(t) ELSE 2 + 2 * length(t) END AS INTEGER) AS n_bytes, t AS back FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE '中' || substr(text, 1, 50) END AS t FROM documents)",
     "s_real_and_name": "SELECT l_orderkey, l_linenumber, CASE WHEN r IN ('-0', '') THEN '0' ELSE r END AS real, '/' || l_returnflag || '#20#28' || l_linestatus || '#29#23#C3#A9' AS name FROM (SELECT *, regexp_replace(printf('%.6f', l_discount - 0.05), '\\.?0+$', '') AS r FROM lineitem)",
+    "k_caret_offsets": """SELECT l_orderkey, sum(q) AS width, CAST(arg_min(n, abs(c - 40) * 1000 + n) AS INTEGER) AS hit FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS n, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) UNION ALL SELECT DISTINCT l_orderkey, 0.0::DOUBLE, 0, 0.0::DOUBLE FROM lineitem) GROUP BY l_orderkey""",
+    "k_decorations": "SELECT p_partkey, round(greatest(p_size * 0.05::DOUBLE, 0.5::DOUBLE), 6) AS thickness, round(p_size * 0.12::DOUBLE, 6) AS underline, round(p_size * 0.3::DOUBLE, 6) AS strike FROM part",
+    "k_wrap_lines": "SELECT p_partkey, p_name AS name, false AS too_long FROM part",
+    "k_xfdf_import": """SELECT c_custkey, unnest(['n', 'empty', 's']) AS name, unnest([c_name || ' <&> "', NULL, c_mktsegment]) AS value FROM customer""",
+    "k_xmp": "SELECT doc_id, source AS title, lang AS producer, CAST(NULL AS VARCHAR) AS creator FROM documents",
     "x_event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
 
