@@ -109,7 +109,7 @@ def k_matrix_concat(spark, sf):
 
 def k_matrix_inverse(spark, sf):
     a, b, c, d, e, f = geometry.inverse(_matrix())
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _r(a, 5).alias("a"), _r(c, 7).alias("c"), _r(geometry.shear(_matrix()), 5).alias("shear"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _r(a, 5).alias("a"), _r(c, 12).alias("c"), _r(geometry.shear(_matrix()), 5).alias("shear"))
 
 
 def k_tile_grid(spark, sf):
@@ -319,7 +319,7 @@ FROM (SELECT p_partkey, n, {_ROMAN} AS r, CASE WHEN n > 702 THEN chr(CAST(65 + (
     "k_blend_modes": "SELECT l_orderkey, l_linenumber, round(s, 6) AS normal, round(s * d, 6) AS multiply, round(s + d - s * d, 6) AS screen, round(least(s, d), 6) AS darken, round(greatest(s, d), 6) AS lighten, round(CASE WHEN d <= 0.5 THEN 2 * d * s ELSE 2 * d - 1 + s - (2 * d - 1) * s END, 6) AS overlay, round(s * 0.25 + d * 0.75, 6) AS over FROM (SELECT *, l_discount * 10 AS s, l_quantity / 50 AS d FROM lineitem)",
     "k_shading_eval": "SELECT l_orderkey, l_linenumber, round(0.2 + pow(t, 2.0) * (0.9 - 0.2), 6) AS exponential, round(CASE WHEN t < 0.5 THEN t / 0.5 ELSE pow(1 - (t - 0.5) / 0.5, 2) END, 6) AS stitched, round((t * 2 + 0.5) / 5, 6) AS axial FROM (SELECT *, l_quantity / 50 AS t FROM lineitem)",
     "k_matrix_concat": "SELECT l_orderkey, l_linenumber, round(q * 2 + di * -1, 4) AS a, round(q * 1 + di * 0.5::DOUBLE, 4) AS b, round(t * 2 + q * -1, 4) AS c, round(t * 1 + q * 0.5::DOUBLE, 4) AS d, round(p * 2 + di * -1 + 3, 4) AS e, round(p * 1 + di * 0.5::DOUBLE + 4, 4) AS f, round(q * 2 + t * 3 + p, 4) AS x, round(di * 2 + q * 3 + di, 4) AS y FROM (SELECT *, l_quantity AS q, l_discount AS di, l_tax AS t, l_extendedprice AS p FROM lineitem)",
-    "k_matrix_inverse": "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(det) >= 1e-10 THEN q / det END, 5) AS a, round(CASE WHEN abs(det) >= 1e-10 THEN -t / det END, 7) AS c, round(CASE WHEN q * q + di * di > 0 THEN (q * t + di * q) / (q * q + di * di) ELSE 0 END, 5) AS shear FROM (SELECT *, q * q - di * t AS det FROM (SELECT *, l_quantity AS q, l_discount AS di, l_tax AS t, l_extendedprice AS p FROM lineitem))",
+    "k_matrix_inverse": "SELECT l_orderkey, l_linenumber, round(CASE WHEN abs(det) >= 1e-10 THEN q / det END, 5) AS a, round(CASE WHEN abs(det) >= 1e-10 THEN -t / det END, 12) AS c, round(CASE WHEN q * q + di * di > 0 THEN (q * t + di * q) / (q * q + di * di) ELSE 0 END, 5) AS shear FROM (SELECT *, q * q - di * t AS det FROM (SELECT *, l_quantity AS q, l_discount AS di, l_tax AS t, l_extendedprice AS p FROM lineitem))",
     "k_tile_grid": "SELECT p_partkey, CAST(c AS INTEGER) AS col, CAST(r AS INTEGER) AS row, c * 150.0::DOUBLE AS x, r * 150.0::DOUBLE AS y, round(least(150.0::DOUBLE, w - c * 150.0::DOUBLE), 6) AS w, round(least(150.0::DOUBLE, h - r * 150.0::DOUBLE), 6) AS h FROM (SELECT *, unnest(range(greatest(CAST(ceil(h / 150) AS BIGINT), 1))) AS r FROM (SELECT *, unnest(range(greatest(CAST(ceil(w / 150) AS BIGINT), 1))) AS c FROM (SELECT p_partkey, p_size * 10.0::DOUBLE AS w, p_retailprice / 4 AS h FROM part)))",
     "k_quad_bounds": "SELECT p_partkey, least(s + k % 7, s * 3 + k % 11, k % 13, s * 2.5::DOUBLE + k % 9) AS x1, least(s * 2 + k % 5, s * 0.5::DOUBLE + k % 3, s * 1.5::DOUBLE + k % 2, s * 4 + k % 4) AS y1, greatest(s + k % 7, s * 3 + k % 11, k % 13, s * 2.5::DOUBLE + k % 9) AS x2, greatest(s * 2 + k % 5, s * 0.5::DOUBLE + k % 3, s * 1.5::DOUBLE + k % 2, s * 4 + k % 4) AS y2, 1 AS n FROM (SELECT *, CAST(p_size AS DOUBLE) AS s, p_partkey AS k FROM part)",
     "k_permissions": "SELECT l_orderkey, l_linenumber, (p & 4) <> 0 AS print, (p & 8) <> 0 AS modify, (p & 16) <> 0 AS copy_text, (p & 32) <> 0 AS annotate, (p & 256) <> 0 AS fill_forms, (p & 512) <> 0 AS extract_accessibility, (p & 1024) <> 0 AS assemble, (p & 2048) <> 0 AS print_hq FROM (SELECT *, l_partkey % 4096 AS p FROM lineitem)",
