@@ -26,8 +26,8 @@ def decode_text(raw: Column) -> Column:
 
 
 def encode_text(text: Column) -> Column:
-    """Latin-1 if every character is in it, else UTF-16BE with its mark."""
-    return F.when(text.rlike(r"^[\x00-\xFF]*$"), F.encode(text, "ISO-8859-1")).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
+    """Latin-1 if every character is in it and the start is no byte-order mark, else UTF-16BE with its mark."""
+    return F.when(text.rlike(r"^(?!\xFE\xFF|\xEF\xBB\xBF)[\x00-\xFF]*\z"), F.encode(text, "ISO-8859-1")).otherwise(F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
 
 
 def strip_subset(name: Column) -> Column:

@@ -256,6 +256,13 @@ def s_text_strings(spark, sf):
     return coded.select("doc_id", F.octet_length("raw").alias("n_bytes"), text.decode_text(F.col("raw")).alias("back"))
 
 
+def s_text_strings_whole(spark, sf):
+    """Whole texts coded in Latin-1 or UTF-16 and decoded; every second one ends with a character outside Latin-1."""
+    t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("中")))
+    coded = read(spark, sf, "documents").select("doc_id", text.encode_text(t).alias("raw")).withColumn("back", text.decode_text(F.col("raw")))
+    return coded.select("doc_id", F.octet_length("raw").alias("n_bytes"), F.length("back").cast("long").alias("n_chars"), F.md5("back").alias("md5"))
+
+
 def s_real_and_name(spark, sf):
     li = read(spark, sf, "lineitem")
     names = F.concat(F.col("l_returnflag"), F.lit(" ("), F.col("l_linestatus"), F.lit(")#é"))
@@ -344,6 +351,7 @@ SELECT k, first, first + 40 AS "end" FROM (SELECT o_custkey % 100 AS k, o_orderk
     "s_html_text": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g')) AS text FROM pages",
     "s_xml_escape": f"SELECT page_id, md5({_XML}) AS md5, md5(html) AS back FROM pages",
     "s_text_strings": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN length(t) ELSE 2 + 2 * length(t) END AS INTEGER) AS n_bytes, t AS back FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE '中' || substr(text, 1, 50) END AS t FROM documents)",
+    "s_text_strings_whole": r"SELECT doc_id, CAST(CASE WHEN regexp_full_match(t, '[\x{00}-\x{FF}]*') AND NOT starts_with(t, 'þÿ') AND NOT starts_with(t, 'ï»¿') THEN length(t) ELSE 2 + 2 * (length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) END AS INTEGER) AS n_bytes, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '中' END AS t FROM documents)",
     "s_real_and_name": "SELECT l_orderkey, l_linenumber, CASE WHEN r IN ('-0', '') THEN '0' ELSE r END AS real, '/' || l_returnflag || '#20#28' || l_linestatus || '#29#23#C3#A9' AS name FROM (SELECT *, regexp_replace(printf('%.6f', l_discount - 0.05), '\\.?0+$', '') AS r FROM lineitem)",
     "k_caret_offsets": """SELECT l_orderkey, sum(q) AS width, CAST(arg_min(n, abs(c - 40) * 1000 + n) AS INTEGER) AS hit FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS n, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) UNION ALL SELECT DISTINCT l_orderkey, 0.0::DOUBLE, 0, 0.0::DOUBLE FROM lineitem) GROUP BY l_orderkey""",
     "k_decorations": "SELECT p_partkey, round(greatest(p_size * 0.05::DOUBLE, 0.5::DOUBLE), 6) AS thickness, round(p_size * 0.12::DOUBLE, 6) AS underline, round(p_size * 0.3::DOUBLE, 6) AS strike FROM part",

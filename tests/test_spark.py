@@ -1,9 +1,12 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from folio.core import writer
 from folio.functions import color, geometry, text
 from folio.operators import graph, layout, search
+from folio.plans import kernels
 from folio.sources.datasource import register
 from folio.sources.pdf import Pdf, read_files, save, text_files
 from folio.streaming.files import add_range, cached_ranges, complete
@@ -83,6 +86,17 @@ def test_expressions(spark):
     assert len(one(spark, geometry.tiles(lit(100.0), lit(50.0), 40.0))) == 6
 
 
+def test_text_strings_run_over_whole_texts(spark, tmp_path):
+    texts = ["x" * 60 + "中", "x" * 60 + "é", "þÿab", "ï»¿x", "line\n", "line\u2028", "a😀", "", None, "þ" * 5000]
+    rows = [(2 * i + odd, t) for i, t in enumerate(texts) for odd in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_chars, r.md5) for r in kernels.s_text_strings_whole(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        t = t if t is None or i % 2 == 0 else t + "中"
+        latin = t is not None and max(t, default="") <= "ÿ" and not t.startswith(("þÿ", "ï»¿"))
+        assert got[i] == ((None, None, None) if t is None else (len(t) if latin else 2 + len(t.encode("utf-16-be")), len(t), hashlib.md5(t.encode()).hexdigest()))
+
+
 def test_graph(spark):
     edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (1, 5, 6), (2, 1, 9)], "doc_id int, src_obj int, dst_obj int")
     roots = spark.createDataFrame([(1, 1)], "doc_id int, dst_obj int")
