@@ -7,9 +7,14 @@ scores by increasing start and replaces a score only by a greater one: of equal
 scores the longest last piece stays. A character that no piece matches costs the
 lowest score less ten and counts as its bytes (byte fallback).
 
-White space separates words; each is counted with the word-start sign before it,
-as pieces don't cross words. Distinct words of a batch are counted once, and a
-bounded cache keeps counts over batches.
+With ``whole`` all of a text is counted, as sentencepiece does without removing
+white space: blanks are word-start signs, one more comes first, and line breaks
+and tabs are characters like others. The text is cut only where no piece can lie
+across, before blanks and at control characters that no piece has; a bounded
+cache keeps the counts of the parts.
+
+Without it white space only separates words; each is counted with the word-start
+sign before it. Distinct words of a batch are counted once and cached too.
 
 Defined results: a null or empty text has no tokens and score 0. Rows are
 independent. Only ``doc_id`` and ``text`` are read.
@@ -17,8 +22,10 @@ independent. Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import pickle
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +61,12 @@ class Counter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
-        self.cache: dict[bytes, tuple[int, float]] = {}
+        self.cache: dict[bytes | str, tuple[int, float]] = {}
         self.cached = cached
+        signs, used = re.compile(f"[^{WORD_START}]{WORD_START}"), set().union(*(p for p, _ in pieces))
+        alone = "".join(c for c in "\t\n\x0b\x0c\r" if c not in used)
+        crossing = any(signs.search(p) for p, _ in pieces)
+        self.parts = re.compile(r"(?s).+" if crossing else f"{WORD_START}*[^{WORD_START}{alone}]+|{WORD_START}+" + (f"|[{alone}]" if alone else ""))
 
     def count(self, word: str) -> tuple[int, float]:
         """Number of tokens of one word, and their score."""
@@ -80,16 +91,26 @@ class Counter:
             best[i + 1], counts[i + 1] = top, tokens
         return counts[n], best[n]
 
-    def of(self, word: bytes) -> tuple[int, float]:
+    def of(self, word: bytes | str) -> tuple[int, float]:
+        """Of a word as bytes, without its word-start sign, or of a part of a text."""
         got = self.cache.get(word)
         if got is None:
-            got = self.count(WORD_START + word.decode())
+            got = self.count(word if isinstance(word, str) else WORD_START + word.decode())
             if len(word) <= 64:
                 if len(self.cache) >= self.cached:
                     self.cache.clear()
                 self.cache[word] = got
         return got
 
+    def whole(self, text: bytes) -> tuple[int, float]:
+        """Number of tokens and score of all of a text."""
+        tokens, score = 0, 0.0
+        if text:
+            for part, times in collections.Counter(self.parts.findall(WORD_START + text.decode().replace(" ", WORD_START))).items():
+                n, s = self.of(part)
+                tokens, score = tokens + n * times, score + s * times
+        return tokens, score
+
     def texts(self, chunk: W.Chunk) -> Iterator[tuple[int, float]]:
         """Number of tokens and score of each text."""
         raw = chunk.raw
@@ -117,18 +138,24 @@ def _counter(data: bytes) -> Counter:
 
 
 class TokenCounts:
-    def __init__(self, pieces: list[tuple[str, float]] | None = None):
-        self.pieces = vocabulary() if pieces is None else pieces
+    def __init__(self, pieces: list[tuple[str, float]] | None = None, whole: bool = False):
+        self.pieces, self.whole = vocabulary() if pieces is None else pieces, whole
 
     def counts(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_tokens, score of each row."""
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(self.pieces))  # of fixed size: a vocabulary
+        whole = self.whole
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = _counter(shared.value)
             for batch in batches:
                 words, tokens, scores = [], [], []
-                for chunk in W.chunks(batch["text"], W.SPACED, False):
+                for text in W.texts(batch["text"]) if whole else ():
+                    words.append(len(text.split()))
+                    n, s = counter.whole(text)
+                    tokens.append(n)
+                    scores.append(s)
+                for chunk in W.chunks(batch["text"], W.SPACED, False) if not whole else ():
                     words += np.diff(chunk.at).tolist()
                     for n, s in counter.texts(chunk):
                         tokens.append(n)
@@ -139,4 +166,4 @@ class TokenCounts:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return TokenCounts().counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return TokenCounts(whole=True).counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -286,3 +286,33 @@ def test_token_counts(docs, rows, empty):
             want = sum(1 if t in known else len(t.encode()) for t in tokens)
             assert got[doc] == want, (doc, text, tokens)
     assert low and TokenCounts().counts(empty).count() == 0
+
+
+@pytest.mark.parametrize("more", [[], [("a▁b", -1.0), ("\n▁", -2.0)]])
+def test_token_counts_of_whole_texts(spark, docs, rows, more):
+    """White space is counted too; the second vocabulary has pieces that lie across words."""
+    from tokenizers import Tokenizer, models
+
+    odd = ["a\nb", "a  b", " a ", "\n", "   ", "a\tb\r\n", "if x:\r\n        y();\r\n", "a▁b", "\n\n a", "\x0b\x0c\u00a0 \u2028", " " * 300 + "a" + "\n" * 50]
+    texts = [(1000 + i, t) for i, t in enumerate(odd)] + [(i, t) for i, t in rows if i is not None]
+    pieces = vocabulary() + more
+    for scored in (pieces, [(p, -float(len(p) % 3)) for p, _ in pieces]):
+        unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *scored], 0, False))
+        known = {p for p, _ in scored}
+        got = {r.doc_id: (r.n_words, r.n_tokens) for r in TokenCounts(scored, whole=True).counts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+        for doc, text in texts:
+            tokens = unigram.encode("▁" + text.replace(" ", "▁"), add_special_tokens=False).tokens if text else []
+            assert got[doc] == (len(SPACED.findall(text or "")), sum(1 if t in known else len(t.encode()) for t in tokens)), (doc, text)
+
+
+def test_the_registered_count_takes_white_space(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    from folio.llm.registry import QUERIES
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a b", "a\nb", "a  b", " a ", "a\n\n\tb", "   "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_tokens for r in QUERIES["op6_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
