@@ -326,6 +326,31 @@ class NgramJaccard:
         final = named.join(least, "comp").select("cid", "component_id")
         return rows.join(final, "cid", "left").select("doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
+    def members(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_shingles, cid of each row: rows of one class have equal sets, so all of them link; null for an empty set."""
+        return self._classes(docs).drop("bits")
+
+    def links(self, docs: DataFrame) -> DataFrame:
+        """(a, b), a < b: all pairs of classes that link, each once; ``members`` has the rows of a class.
+
+        Nothing is skipped, so a group of near copies gives all its pairs.
+        """
+        scratch, percent = Scratch(docs.sparkSession, "jaccard-links"), self.percent
+        rows = scratch.keep(self._classes(docs), "rows")
+        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
+        most = boundary({r.n: r["count"] for r in classes.where("n <= 64").groupBy("n").count().collect()}, percent)
+        lists = scratch.keep(self._lists(docs, self._heavy(docs, scratch), most), "lists")
+
+        a = lists.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"))
+        met = a.join(lists.select("h", F.col("cid").alias("b"), "n", "pos"), "h").where("a < b")
+        # a common subset is enough for small sets: of their intersection's size there is one
+        sure = met.where(F.expr(f"at < 0 AND at = pos AND -100L * pos >= {percent}L * (m + n + pos)")).select("a", "b").distinct()
+        may = F.expr(f"at >= 0 AND pos >= 0 AND 100L * least(m, n) >= {percent}L * greatest(m, n) AND (100L + {percent}L) * (least(at, pos) + least(m - at, n - pos)) >= {percent}L * (m + n)")
+        pairs = scratch.keep(self._near(met.where(may).select("a", "b").distinct(), classes), "pairs")
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+        sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")).dropDuplicates(["cid"]), "sets")
+        return sure.union(self._linked(pairs, sets)).distinct()
+
     def one_of_each(self, docs: DataFrame) -> DataFrame:
         """The document with the smallest id of each component, in one row even if its id repeats.
 

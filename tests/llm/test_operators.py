@@ -84,6 +84,32 @@ def test_ngram_jaccard_at_other_parameters(docs, rows, options):
     assert as_rows(NgramJaccard(**options).components(docs)) == ordered(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"heavy_slots": 0}, {"percent": 60, "k": 2}])
+def test_ngram_jaccard_gives_all_links(docs, rows, empty, options):
+    percent, k = options.get("percent", 80), options.get("k", 5)
+    sets = set()
+    for _, text in rows:
+        w = SPACED.findall(lower(text))
+        if w:
+            sets.add(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))))
+    by_id = {doc: text for doc, text in rows if doc is not None}
+    own = NgramJaccard(**options)
+    members = own.members(docs).collect()
+    assert sorted(str(r.doc_id) for r in members) == sorted(str(doc) for doc, _ in rows)
+    of = {}
+    for r in members:
+        if r.doc_id is not None and r.cid is not None:
+            w = SPACED.findall(lower(by_id[r.doc_id]))
+            of.setdefault(r.cid, set()).add(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))))
+    assert all(len(x) == 1 for x in of.values())
+    of = {c: next(iter(x)) for c, x in of.items()}
+    found = [(r.a, r.b) for r in own.links(docs).collect()]
+    assert all(a < b for a, b in found) and len(set(found)) == len(found)
+    want = {frozenset((x, y)) for x, y in combinations(sets, 2) if 100 * len(x & y) >= percent * len(x | y)}
+    assert {frozenset((of[a], of[b])) for a, b in found} == want and len(found) == len(want) > 0
+    assert own.links(empty).count() == 0
+
+
 def test_chains_of_near_copies(spark):
     """Each text is similar to the next ones only, so one component needs many links."""
     w = [f"v{i}" for i in range(400)]
