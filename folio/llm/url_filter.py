@@ -5,10 +5,11 @@ subdomains, and the longest rule that fits decides. Other urls are judged by
 trees over length, depth, digit ratio, entropy, parameter counts and suffix
 statistics, trained from labelled urls.
 
-Labelled urls are those that a rule decides, unless others are given. Training
-takes ``sample`` of them at most, those with the smallest hashes, so the same
-urls at any partitioning; trees and suffix statistics come from them and every
-url is scored.
+Labelled urls are those that a rule decides, unless others are given. Statistics
+of suffixes and first segments are counted over all of them and joined to the
+urls. Training of the trees takes ``sample`` of them at most, those with the
+smallest hashes, so the same urls at any partitioning. Every url is scored. A
+model of ``fit`` stands alone: its statistics are those of its sample.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is scored like others. Rows may repeat. Without labelled urls
@@ -18,7 +19,7 @@ of both kinds every url gets the verdict of the one there is, or allow.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._store import Scratch
+
 # Rules as given, (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -76,6 +79,19 @@ def segment(path: str) -> str:
     return path[1:].partition("/")[0]
 
 
+def suffix_and_segment(url: Column) -> tuple[Column, Column]:
+    """``suffix`` and ``segment`` of a url as expressions."""
+    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
+    rest = F.substring_index(F.substring_index(F.coalesce(rest, F.lit("")), "#", 1), "?", 1)
+    host = F.substring_index(rest, "/", 1)
+    return F.substring_index(host, ".", -2), F.substring_index(F.substr(rest, F.length(host) + 2), "/", 1)
+
+
+PRIOR, SMOOTH = 0.5, 5.0
+#: Rate and count of the suffix and rate of the segment of a row.
+STATISTICS = ("_suffix_rate", "_suffix_count", "_segment_rate")
+
+
 @dataclass
 class UrlModel:
     """Boosted trees of one depth: split feature and threshold by node, value by leaf, for each tree."""
@@ -84,16 +100,20 @@ class UrlModel:
     bias: float = 0.0
     suffixes: dict[str, tuple[float, float]] = field(default_factory=dict)
     segments: dict[str, tuple[float, float]] = field(default_factory=dict)
-    prior: float = 0.5
+    prior: float = PRIOR
 
-    def features(self, urls: list[str | None]) -> np.ndarray:
+    def features(self, urls: list[str | None], statistics: list[tuple[float, float, float]] | None = None) -> np.ndarray:
+        """Features of urls, with the model's own statistics or those given for each url."""
         rows = []
-        for url in urls:
+        for i, url in enumerate(urls):
             host, path, query, fragment = _split(url)
             text = url or ""
-            rate, count = self.suffixes.get(suffix(host), (self.prior, 0.0))
+            if statistics is None:
+                rate, count, first = *self.suffixes.get(suffix(host), (self.prior, 0.0)), self.segments.get(segment(path), (self.prior, 0.0))[0]
+            else:
+                rate, count, first = statistics[i]
             digits = sum(c.isdigit() for c in text)
-            rows.append((len(text), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(text)), sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host), query.count("=") + query.count("&"), len(query), len(fragment), rate, count, self.segments.get(segment(path), (self.prior, 0.0))[0]))
+            rows.append((len(text), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(text)), sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host), query.count("=") + query.count("&"), len(query), len(fragment), rate, count, first))
         return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -107,12 +127,12 @@ class UrlModel:
         return 1 / (1 + np.exp(-out))
 
 
-def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, smooth: float = 5.0) -> UrlModel:
+def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, smooth: float = SMOOTH, statistics: list[tuple[float, float, float]] | None = None) -> UrlModel:
     """Newton boosting of logistic loss over binned features; ties go to the first feature and the lowest threshold."""
     y = np.array(blocked, dtype=float)
     if not len(y) or y.min() == y.max():
         return UrlModel(bias=20.0 if len(y) and y[0] else -20.0)
-    prior = 0.5
+    prior = PRIOR
     weight = np.where(y > 0, prior / y.mean(), prior / (1 - y.mean()))  # both kinds weigh the same
 
     def rates(keys: list[str]) -> dict[str, tuple[float, float]]:
@@ -125,7 +145,7 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3,
 
     parts = [_split(u) for u in urls]
     model = UrlModel(prior=prior, suffixes=rates([suffix(h) for h, *_ in parts]), segments=rates([segment(p) for _, p, *_ in parts]))
-    x = model.features(urls)
+    x = model.features(urls, statistics)
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = [np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)]
     margin = np.full(len(y), model.bias)
@@ -165,26 +185,55 @@ class UrlFilter:
         host, path = host_and_path(F.col("url"))
         return pages.withColumn("host", host).withColumn("path", path).withColumn("_rule", by_rules(F.col("host"), F.col("path"), self.rules))
 
+    def _labelled(self, labelled: DataFrame) -> DataFrame:
+        return labelled.where("url IS NOT NULL AND blocked IS NOT NULL").groupBy("url").agg(F.max("blocked").alias("blocked"))
+
     def fit(self, labelled: DataFrame) -> UrlModel:
         """A model from (url, blocked) rows."""
-        some = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").groupBy("url").agg(F.max("blocked").alias("blocked"))
-        rows = some.orderBy(F.xxhash64("url"), "url").limit(self.sample).collect()
+        rows = self._labelled(labelled).orderBy(F.xxhash64("url"), "url").limit(self.sample).collect()
         return train([r.url for r in rows], [r.blocked for r in rows])
 
+    def fit_with_statistics(self, labelled: DataFrame) -> tuple[UrlModel, Callable[[DataFrame], DataFrame]]:
+        """A model from (url, blocked) rows, and what adds to rows with a url the statistics over all labelled urls."""
+        scratch = Scratch(labelled.sparkSession, "urls")
+        last, first = suffix_and_segment(F.col("url"))
+        some = scratch.keep(self._labelled(labelled).select("url", "blocked", last.alias("_suffix"), first.alias("_segment")), "labelled")
+        totals = some.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
+        bad, good = (PRIOR * totals.n / max(1, x) for x in (totals.blocked, totals.n - totals.blocked))  # both kinds weigh the same
+
+        def table(key: str) -> DataFrame:
+            n = F.count_if("blocked") * bad + F.count_if(~F.col("blocked")) * good
+            rate = (F.count_if("blocked") * bad + SMOOTH * PRIOR) / (n + SMOOTH)
+            return scratch.keep(some.groupBy(key).agg(rate.alias(f"{key}_rate"), F.log1p(n).alias(f"{key}_count")), key.strip("_"))
+
+        by_suffix, by_segment = table("_suffix"), table("_segment").drop("_segment_count")
+
+        def add(rows: DataFrame) -> DataFrame:
+            keyed = rows.withColumns({"_suffix": last, "_segment": first})
+            return keyed.join(by_suffix, "_suffix", "left").join(by_segment, "_segment", "left").drop("_suffix", "_segment").fillna({"_suffix_rate": PRIOR, "_suffix_count": 0.0, "_segment_rate": PRIOR})
+
+        hashed = some.select("url", "blocked", F.xxhash64("url").alias("_hash")).orderBy("_hash", "url").limit(self.sample)
+        rows = sorted(add(hashed).collect(), key=lambda r: (r._hash, r.url))  # sample rows at most
+        return train([r.url for r in rows], [r.blocked for r in rows], statistics=[tuple(r[c] for c in STATISTICS) for r in rows]), add
+
     def judge(self, pages: DataFrame, model: UrlModel | None = None) -> DataFrame:
         """page_id, url, host, path, rule, verdict, score (probability of block) of each row."""
         ruled = self._ruled(pages.select("page_id", "url"))
         if model is None:
-            model = self.fit(ruled.where("_rule IS NOT NULL").select("url", (F.col("_rule.verdict") == "block").alias("blocked")))
+            model, add = self.fit_with_statistics(ruled.where("_rule IS NOT NULL").select("url", (F.col("_rule.verdict") == "block").alias("blocked")))
+            ruled = add(ruled) if model.trees else ruled
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                score = model.score(model.features(batch["url"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
+                statistics = list(zip(*(batch[c].to_pylist() for c in given))) if given else None
+                score = model.score(model.features(batch["url"].to_pylist(), statistics))
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(score, pa.float64())], [*kept, "score"])
 
-        flat = ruled.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("ruled"))
+        flat = ruled.select("page_id", "url", "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("ruled"), *(c for c in STATISTICS if c in ruled.columns))
+        given = [c for c in STATISTICS if c in flat.columns]
+        kept = [c for c in flat.columns if c not in given]
         kinds = dict(flat.dtypes)
-        scored = flat.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in flat.columns] + ["score double"]))
+        scored = flat.mapInArrow(run, ", ".join([f"{c} {kinds[c]}" for c in kept] + ["score double"]))
         return scored.select("page_id", "url", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > self.threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from folio.llm import url_filter as U
 
@@ -45,3 +46,22 @@ def test_training_is_bounded_and_repeatable(spark):
     rows = spark.createDataFrame([(f"http://h{i}.com/{i}", i % 2 == 0) for i in range(300)], "url string, blocked boolean")
     a, b = (U.UrlFilter(sample=50).fit(x) for x in (rows, rows.repartition(7)))
     assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() for x, y in zip(a.trees, b.trees)) and sum(np.expm1(n) for _, n in a.suffixes.values()) < 60
+
+
+def test_statistics_are_of_all_labelled_urls(spark):
+    urls = [*(u for u in URLS if u is not None), *(f"http://x{i}.h{i % 90}.com/s{i % 70}/{i}?a#b" for i in range(400))]
+    labels = [i % 3 == 0 for i in range(len(urls))]
+    whole = U.train(urls, labels)  # of all urls, in one process
+    _, add = U.UrlFilter(sample=20).fit_with_statistics(spark.createDataFrame(list(zip(urls, labels)), "url string, blocked boolean"))
+    asked = [*urls, None, "http://new.org/new/"]
+    got = {r.url: [r[c] for c in U.STATISTICS] for r in add(spark.createDataFrame([(u,) for u in asked], "url string")).collect()}
+    want = whole.features(asked)[:, [U.FEATURES.index(c[1:]) for c in U.STATISTICS]]
+    assert len(got) == len(asked) and all(np.allclose(got[u], x) for u, x in zip(asked, want))
+
+
+def test_judged_by_suffixes_outside_the_sample(spark):
+    """Only the suffix tells the kinds apart, and most suffixes are not in the sample."""
+    rules = tuple(("block" if i % 2 else "allow", f"h{i:03}.com", "/r/") for i in range(200))
+    pages = [(i, f"http://h{i % 200:03}.com/{'r' if i < 2000 else 'q'}/{i:04}") for i in range(2400)]
+    got = U.UrlFilter(rules, sample=60).judge(spark.createDataFrame(pages, "page_id long, url string")).where(F.col("rule").isNull()).collect()
+    assert len(got) == 400 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
