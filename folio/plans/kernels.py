@@ -181,6 +181,12 @@ def k_xref_subsections(spark, sf):
     return graph.runs(o, ["g"], "n")
 
 
+def k_xref_subsections_all(spark, sf):
+    """Runs over all orders, in use or free."""
+    o = read(spark, sf, "orders").select((F.col("o_orderkey") % 7).alias("g"), (F.col("o_custkey") % 3 != 0).alias("in_use"), F.floor(F.col("o_orderkey") / 7).alias("n"))
+    return graph.runs(o, ["g", "in_use"], "n")
+
+
 def _edges(spark, sf):
     """region -> nation -> customer -> orders, as references between numbers."""
     n, c, o = (read(spark, sf, t) for t in ("nation", "customer", "orders"))
@@ -340,6 +346,7 @@ SELECT k, first, first + 40 AS "end" FROM (SELECT o_custkey % 100 AS k, o_orderk
     "k_object_len": "SELECT o_custkey, o_orderkey * 37 AS offset, CAST(CASE WHEN lead(o_orderkey) OVER w IS NULL THEN 65536 ELSE least((lead(o_orderkey) OVER w) * 37 - o_orderkey * 37, 65536) END AS BIGINT) AS est_len FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "k_xref_newest_wins": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus",
     "k_xref_subsections": "SELECT g, min(n) AS first, count(*) AS count FROM (SELECT g, n, n - row_number() OVER (PARTITION BY g ORDER BY n) AS r FROM (SELECT o_orderkey % 7 AS g, o_orderkey // 7 AS n FROM orders WHERE o_custkey % 3 <> 0)) GROUP BY g, r",
+    "k_xref_subsections_all": "SELECT g, in_use, min(n) AS first, count(*) AS count FROM (SELECT g, in_use, n, n - row_number() OVER (PARTITION BY g, in_use ORDER BY n) AS r FROM (SELECT o_orderkey % 7 AS g, o_custkey % 3 <> 0 AS in_use, o_orderkey // 7 AS n FROM orders)) GROUP BY g, in_use, r",
     "g_reachable": "SELECT CAST(1 AS BIGINT) AS dst_obj UNION ALL SELECT 100 + n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1000 + c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 10000000 + o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1",
     "g_unreachable": "SELECT CAST(100 + n_nationkey AS BIGINT) AS dst_obj FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 1000 + c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1 UNION ALL SELECT 10000000 + o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IS DISTINCT FROM 1",
     "g_inherit_attr": "SELECT 'c' || c_custkey AS node, CASE WHEN c_acctbal > 9000 THEN c_name WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS v FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'n' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region",

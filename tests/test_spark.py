@@ -105,6 +105,13 @@ def test_graph(spark):
     assert sorted((r.a, r.b) for r in graph.merge_intervals(ranges, ["k"], "a", "b").collect()) == [(0, 7), (9, 12)]
 
 
+def test_subsections_take_every_order(spark, tmp_path):
+    rows = [(7 * n, c) for n, c in enumerate([1, 2, 3, 3, 4, 6])]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.in_use, r["first"], r["count"]) for r in kernels.k_xref_subsections_all(spark, str(tmp_path)).collect()}
+    assert got == {(True, 0, 2), (False, 2, 2), (True, 4, 1), (False, 5, 1)}
+
+
 def test_ranges_as_a_stream(spark, tmp_path):
     assert add_range([(0, 5), (10, 20)], 5, 10) == [(0, 20)] and add_range([(5, 6)], 0, 2) == [(0, 2), (5, 6)]
     feeds = spark.createDataFrame([(1, 0, 10), (1, 10, 30), (1, 50, 60), (2, 5, 6)], "doc_id long, first long, end long")
