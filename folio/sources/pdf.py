@@ -19,12 +19,15 @@ from folio.core.extract import RELATIONS
 from folio.core.objects import Document, PdfError
 
 Row = tuple
+TOO_LARGE = "FileTooLarge"
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.pdf", max_bytes: int = 1 << 30) -> DataFrame:
-    """(doc_id, content) of the files below a path; those over ``max_bytes`` stay unread."""
+    """(doc_id, content, _error) of the files below a path; those over ``max_bytes`` stay unread: null with an error code."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "content")
+    read = files.where(F.col("length") <= max_bytes).select(F.col("path").alias("doc_id"), "content", F.lit(None).cast("string").alias("_error"))
+    unread = files.where(F.col("length") > max_bytes).select(F.col("path").alias("doc_id"), F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("_error"))
+    return read.unionByName(unread)
 
 
 def _types(schema: str) -> tuple[list[str], list[pa.DataType]]:
@@ -61,7 +64,7 @@ def flat_map(df: DataFrame, columns: list[str], schema: str, each: Callable[...,
 
 
 class Pdf:
-    """Relations of the files in ``files`` (doc_id, content).
+    """Relations of the files in ``files`` (doc_id, content, and _error if there is one).
 
     A file that can't be read gives no rows, and one row in ``errors()``; with
     ``strict`` the job fails. The password may be a text or the name of a column.
@@ -69,7 +72,8 @@ class Pdf:
 
     def __init__(self, files: DataFrame, password: str = "", password_column: str | None = None, strict: bool = False):
         secret = F.col(password_column) if password_column else F.lit(password)
-        self.files = files.select("doc_id", "content", secret.alias("_password"))
+        error = F.col("_error") if "_error" in files.columns else F.lit(None).cast("string")
+        self.files = files.select("doc_id", "content", secret.alias("_password"), error.alias("_error"))
         self.strict = strict
 
     def relation(self, name: str) -> DataFrame:
@@ -89,7 +93,10 @@ class Pdf:
     def errors(self) -> DataFrame:
         """(doc_id, code, offset, message) of files that can't be read."""
 
-        def each(doc_id: Any, content: bytes | None, password: str | None) -> Iterator[Row]:
+        def each(doc_id: Any, content: bytes | None, password: str | None, error: str | None) -> Iterator[Row]:
+            if error:
+                yield error, -1, "not read"
+                return
             try:
                 doc = Document(content or b"", (password or "").encode())
                 doc.page_count()
@@ -99,7 +106,7 @@ class Pdf:
             except Exception as e:
                 yield type(e).__name__, -1, str(e)
 
-        return flat_map(self.files, ["doc_id", "content", "_password"], "code string, offset long, message string", each)
+        return flat_map(self.files, ["doc_id", "content", "_password", "_error"], "code string, offset long, message string", each)
 
     def __getattr__(self, name: str):
         if name in RELATIONS:

@@ -33,6 +33,14 @@ def test_files_through_a_folder(spark, files, tmp_path):
     assert [r.text for r in one.orderBy("span_idx").collect()] == ["Page one", "the end"]
 
 
+def test_files_over_the_limit_give_an_error_row(spark, files, tmp_path):
+    save(files, str(tmp_path))
+    most = max((tmp_path / f"{i}.pdf").stat().st_size for i in (1, 2, 3))
+    pdf = Pdf(read_files(spark, f"file://{tmp_path}", max_bytes=most))
+    assert pdf.docs().count() == 3 and pdf.files.where("content IS NULL").count() == 1
+    assert [(r.doc_id[-6:], r.code) for r in pdf.errors().collect()] == [("/4.pdf", "FileTooLarge")]
+
+
 def test_only_one_exchange_for_search(files):
     plan = search.search(words_of(files), "the")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
