@@ -1,13 +1,15 @@
-"""Word boundaries and rolling (Rabin-Karp) hashes over UTF-8 bytes with numpy.
+"""Word boundaries and hashes of words and word windows over UTF-8 bytes with numpy.
 
 Texts are UTF-8 bytes, taken some at a time. Every separator of the word classes used
 here is ASCII, so bytes of multi-byte characters are always word bytes and no
-decoding is needed. Hashes are polynomials modulo 2**64 over a random byte
-table, finished by a bijective mixer.
+decoding is needed. A word's hash mixes eight bytes at a time, so each bit of it
+depends on every byte; windows are put together from hashes of shorter ones, either
+by the same mixer or as Rabin-Karp polynomials modulo a prime.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,28 +33,12 @@ ALNUM = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD1342543DE82EF95 | 1
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, extended on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << max(12, (n - 1).bit_length())
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.concatenate(([_U(1)], np.multiply.accumulate(np.full(size - 1, _U(b), dtype=np.uint64)))) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(_BASE), _Powers(_WORD_BASE)
+#: Longer words are hashed one by one.
+_LONG = 256
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
+_PRIME, _FOLD = _U(2**31 - 1), _U(31)
+#: Bases of the two polynomials.
+_BASES = (1_270_633_057, 1_847_052_349)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,23 +63,59 @@ def bounds(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def spans_hash(raw: bytes | np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of given byte spans."""
     data = np.frombuffer(raw, dtype=np.uint8)
-    up, down = _BYTES.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    padded = np.concatenate((data, np.zeros(8, dtype=np.uint8)))
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    length = ends - starts
     with np.errstate(over="ignore"):
-        np.cumsum(np.take(_TABLE, data) * up[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts])
+        out = length.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0x2545F4914F6CDD1D)
+        which, at = slice(None), starts
+        for i in range(0, _LONG, 8):
+            if i:
+                which = np.flatnonzero(length > i) if i == 8 else which[length[which] > i]
+                if not len(which):
+                    return out
+                at = starts[which] + i
+            block = eights[at] & _MASK[np.minimum(length[which] - i, 8)]
+            out[which] = mix(out[which] ^ block) + _U(0xD1342543DE82EF95)
+    for i in which[length[which] > _LONG].tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _doubled(one: np.ndarray, k: int, join) -> np.ndarray:
+    """Values of all windows of k from those of single places; ``join(left, right, n)`` puts n places to the right."""
+    out, have = one, 1
+    for bit in bin(k)[3:]:
+        out, have = join(out[:-have], out[have:], have), 2 * have
+        if bit == "1":
+            out, have = join(out[:-1], one[have:], 1), have + 1
+    return out
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Rolling hashes of all windows of k consecutive words; none if there are fewer words."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """Hashes of all windows of k consecutive words; none if there are fewer words."""
+    if len(hashes) < k or k < 1:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _WORDS.get(len(hashes))
-    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(hashes * up, out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * down[:n] + _U(k))
+        return mix(_doubled(hashes, k, lambda x, y, _: mix(x * _U(0x9FB21C651E98DF25) + y)) + _U(k))
+
+
+def rabin_karp(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Rabin-Karp hashes of all windows of k consecutive words: two polynomials modulo 2**31 - 1, 62 bits."""
+    if len(hashes) < k or k < 1:
+        return np.zeros(0, dtype=np.uint64)
+
+    def reduced(x: np.ndarray) -> np.ndarray:
+        x = (x & _PRIME) + (x >> _FOLD)
+        return (x & _PRIME) + (x >> _FOLD)
+
+    def polynomial(coefficients: np.ndarray, base: int) -> np.ndarray:
+        out = _doubled(reduced(coefficients), k, lambda x, y, n: reduced(x * _U(pow(base, n, 2**31 - 1)) + y))
+        out[out == _PRIME] = 0
+        return out
+
+    high, low = polynomial(hashes >> _U(32), _BASES[0]), polynomial(hashes & _U(2**32 - 1), _BASES[1])
+    return mix((high << _FOLD) | low)
 
 
 class Chunk:
@@ -124,7 +146,7 @@ class Chunk:
         return windows(self.hashes, k), self.at[:-1], self.at[:-1] + n
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, word: np.ndarray, lower: bool, size: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array | pa.ChunkedArray, word: np.ndarray, lower: bool, size: int = 1 << 19) -> Iterator[Chunk]:
     """The texts of a column, in order, some at a time: about ``size`` bytes, or one longer text."""
     parts: list[bytes] = []
     total = 0

@@ -75,7 +75,7 @@ def _candidates(window: int):
             row, wanted = 0, batch["anchors"]
             for chunk in W.chunks(batch["text"], W.SPACED, False):
                 anchor, lo, hi = _anchored(chunk, window)
-                hashes = W.windows(chunk.hashes, window)
+                hashes = W.rabin_karp(chunk.hashes, window)
                 at, found = [], []
                 for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist())):
                     here = wanted[row + i].values.to_numpy(zero_copy_only=False)
