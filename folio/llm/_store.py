@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of texts in an Arrow batch, at most.
+BATCH_ROWS = 500
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -23,6 +26,12 @@ def base_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of the session to ``BATCH_ROWS``: texts may be long, and both the JVM and the worker hold a whole batch."""
+    if int(spark.conf.get(_BATCH)) <= 0 or int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 class Scratch:
     """Tables of one operator run. ``keep`` writes one; ``drop`` deletes those no longer needed."""
 
@@ -30,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{base_dir(spark)}/folio-{tag}-{uuid.uuid4().hex}"
         self.made: dict[str, int] = {}
+        bounded_batches(spark)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.made[name] = self.made.get(name, -1) + 1

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_lm_score": lm_score.SQL,
     "op5_ngram_jaccard": ngram_jaccard.SQL,
     "op9_decontamination": decontamination.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
