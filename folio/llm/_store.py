@@ -41,7 +41,10 @@ class Scratch:
         self.made: dict[str, int] = {}
         bounded_batches(spark)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None, per_file: int = 500_000) -> DataFrame:
+        """``rows`` is a bound on the number of rows, if one is known: a small table is one file."""
+        if rows is not None:
+            df = df.coalesce(-(-max(rows, 1) // per_file))
         self.made[name] = self.made.get(name, -1) + 1
         path = f"{self.root}/{name}-{self.made[name]}"
         before = self.spark.conf.get(_CLEANUP, "false")

@@ -11,22 +11,30 @@ when intersection / union >= percent / 100. The join is size-aware:
 * Large sets scan inverted lists. Elements are ordered, those that very many
   sets hold last, and a set enters the lists of its first
   ``n - ceil(percent n / 100) + 1`` elements; two linked sets meet in one list.
-  Each list is first checked against its leading members (``rounds`` of them) and
-  links are contracted; then the members that are still in different components
-  are compared, all of them, so nothing is capped. A group of near copies is one
-  component after the first round and never expands into its pairs. A pair is
-  checked element by element only if the two sets' parity maps allow a link.
+  Each list is checked against one leading member, the one with the fewest
+  elements of its own before the list's, and links are contracted. Of the lists
+  that still have members of several components, those of up to ``short``
+  members compare them all. The members of longer ones enter new lists by an
+  exact order: elements that only one component holds come first and have no
+  list, then those with the fewest holders. These are checked and contracted in
+  the same way, ``refinements`` times at most, as long as components were joined,
+  which leaves fewer elements to share; what is left is compared. Nothing is capped.
+  A pair is checked element by element only if the list's element can be its
+  first common one, which leaves the elements from there on, and the two sets'
+  parity maps allow a link.
 * The boundary between small and large is the one of least cost for the sizes
   that occur.
 
 Equal sets are one class throughout, so exact copies cost one row each. The
 order of elements only affects cost: the results are exact for any order, hence
-the table of frequent elements may be held to ``heavy_slots`` entries.
+the table of frequent elements may be held to ``heavy_slots`` entries. Exact up
+to collisions of 64-bit hashes, of shingles within a pair of sets and of whole sets.
 
 Defined results: a null text, or one without words, has an empty set and links
 with nothing. A text with fewer than k words has its whole sequence as one
 shingle. Rows may repeat; component ids ignore null ids (null if no member has
-one). Only ``doc_id`` and ``text`` are read.
+one). Very long texts are sets like others, taken one at a time. Only ``doc_id``
+and ``text`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,7 +45,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -120,8 +128,9 @@ def boundary(counts: dict[int, int], percent: int) -> int:
 
 
 class NgramJaccard:
-    def __init__(self, k: int = K, percent: int = PERCENT, heavy_slots: int = 500_000, heavy_from: int = 16, rounds: int = 6):
-        self.k, self.percent, self.heavy_slots, self.heavy_from, self.rounds = k, percent, heavy_slots, heavy_from, rounds
+    def __init__(self, k: int = K, percent: int = PERCENT, heavy_slots: int = 500_000, heavy_from: int = 16, short: int = 32, refinements: int = 3, broadcast_rows: int = 200_000):
+        self.k, self.percent, self.heavy_slots, self.heavy_from = k, percent, heavy_slots, heavy_from
+        self.short, self.refinements, self.broadcast_rows = short, refinements, broadcast_rows
 
     # ---- passes over the texts -------------------------------------------------
 
@@ -144,17 +153,18 @@ class NgramJaccard:
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, cid long, bits array<long>")
 
     def _once(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, np.ndarray]]]:
-        """Class ids and sets, a batch at a time, without most repeats of a class within a task."""
+        """Class ids and sets, some texts at a time, without most repeats of a class within a task."""
         seen: set[int] = set()
         for batch in batches:
-            out = []
-            for s in self._rows(batch["text"]):
-                if len(s) and (cid := class_id(s)) not in seen:
-                    if len(seen) >= 100_000:
-                        seen.clear()
-                    seen.add(cid)
-                    out.append((cid, s))
-            yield out
+            for chunk in W.chunks(batch["text"], W.SPACED, True):
+                out = []
+                for s in shingle_sets(chunk, self.k):
+                    if len(s) and (cid := class_id(s)) not in seen:
+                        if len(seen) >= 50_000:
+                            seen.clear()
+                        seen.add(cid)
+                        out.append((cid, s))
+                yield out
 
     def _heavy(self, docs: DataFrame, scratch: Scratch) -> np.ndarray:
         """The elements of most sets, sorted; at most ``heavy_slots``.
@@ -219,26 +229,17 @@ class NgramJaccard:
         shared_keys = rows.withColumns({"lo": F.min("cid").over(own), "hi": F.max("cid").over(own)}).where("lo <> hi").drop("lo", "hi")
         return shared_keys.dropDuplicates(["h", "cid", "pos"])
 
-    def _ranked(self, lists: DataFrame, classes: DataFrame) -> DataFrame:
-        """Adds a member's rank in its list, first those most of whose entries others share, and its parity map folded to 256 bits.
-
-        The text that copies were made from shares all its entries, while each
-        copy has some of its own; so it leads its lists and links to the copies.
-        """
-        share = lists.groupBy("cid").agg((F.count("*") / F.max("n")).alias("share"))
-        words, step = BITS // 64, FOLDED // 64
-        folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, words, step))).alias(f"f{i}") for i in range(step)]
-        return lists.join(share.join(classes.select("cid", *folded), "cid"), "cid").withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy(F.desc("share"), "cid"))).drop("share")
-
     def _sets(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(cid, items) of wanted classes (doc_id, cid)."""
         ids = wanted.select(F.col("doc_id").alias("_id"), F.col("cid").alias("_cid"))
+        if ids.count() <= self.broadcast_rows:  # else the texts are shuffled
+            ids = F.broadcast(ids)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cids = batch["_cid"].to_pylist()
-                for at in range(0, len(batch), 500):
-                    found = [(c, s) for c, s in zip(cids[at : at + 500], self._rows(batch["text"].slice(at, 500))) if class_id(s) == c]
+                for at in range(0, len(batch), 200):
+                    found = [(c, s) for c, s in zip(cids[at : at + 200], self._rows(batch["text"].slice(at, 200))) if class_id(s) == c]
                     yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), W.lists([W.signed(s) for _, s in found], pa.int64())], ["cid", "items"])
 
         joined = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -246,25 +247,30 @@ class NgramJaccard:
 
     # ---- links and components --------------------------------------------------
 
-    def _contract(self, scratch: Scratch, labels: DataFrame, edges: DataFrame) -> DataFrame:
-        """Labels after joining the components at both ends of each edge (a, b)."""
+    def _contract(self, scratch: Scratch, labels: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+        """Labels after joining the components at both ends of each edge (a, b); rows bounds the number of labels."""
         while True:
             ends = edges.join(labels.select(F.col("cid").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("cid").alias("b"), F.col("comp").alias("y")), "b")
-            apart = scratch.keep(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            apart = scratch.keep(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges", edges.count())
             if apart.isEmpty():
                 return labels
-            parent = scratch.keep(apart.groupBy("b").agg(F.min("a").alias("p")), "parents")
+            parent = scratch.keep(apart.groupBy("b").agg(F.min("a").alias("p")), "parents", apart.count())
             while True:  # pointer jumping
                 up = parent.select(F.col("b").alias("p"), F.col("p").alias("q"))
-                parent = scratch.keep(parent.join(up, "p", "left").select("b", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+                parent = scratch.keep(parent.join(up, "p", "left").select("b", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents", parent.count())
                 scratch.drop_before("parents")
                 if parent.where("moved").isEmpty():
                     break
                 parent = parent.drop("moved")
-            labels = scratch.keep(labels.join(parent.select(F.col("b").alias("comp"), "p"), "comp", "left").select("cid", F.coalesce("p", "comp").alias("comp")), "labels")
+            labels = scratch.keep(labels.join(parent.select(F.col("b").alias("comp"), "p"), "comp", "left").select("cid", F.coalesce("p", "comp").alias("comp")), "labels", rows)
             scratch.drop_before("labels")
             edges = apart
 
+    def _may(self, bound: str = "TRUE") -> Column:
+        """Whether sets of sizes m and n with places at and pos of an element can link and have no common element before it."""
+        p = self.percent
+        return F.expr(f"{bound} AND 100L * least(m, n) >= {p}L * greatest(m, n) AND {100 + p}L * least(m - at, n - pos) >= {p}L * (m + n)")
+
     def _near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Pairs (a, b) without those whose parity maps differ too much for a link."""
         left, right = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab")
@@ -277,49 +283,89 @@ class NgramJaccard:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("a_items").alias("m"), F.size("b_items").alias("n"), F.size(F.array_intersect("a_items", "b_items")).alias("i"))
         return both.where(F.expr(f"100L * i >= {self.percent}L * (m + n - i)")).select("a", "b")
 
+    def _checked(self, docs: DataFrame, scratch: Scratch, classes: DataFrame, labels: DataFrame, met: DataFrame) -> DataFrame:
+        """Labels after contracting those of the pairs met (a, b) that link; the same labels if none was to contract."""
+        pairs = scratch.keep(self._near(met.distinct(), classes), "pairs")
+        n = pairs.count()
+        if not n:
+            return labels
+        wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
+        sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")), "sets")
+        labels = self._contract(scratch, labels, scratch.keep(self._linked(pairs, sets), "links", n, 50_000), classes.count())
+        scratch.drop("sets", "pairs", "links")
+        return labels
+
+    def _led(self, docs: DataFrame, scratch: Scratch, classes: DataFrame, labels: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Checks each list's entries (h, cid, n, pos) against its leader; new labels and the entries of lists with work left (h, cid, n, pos, comp, left)."""
+        leaders = entries.groupBy("h").agg(F.min(F.struct("pos", "cid", "n")).alias("l"), F.count("*").alias("members"))
+        leaders = scratch.keep(leaders.where("members > 1").select("h", F.col("l.cid").alias("a"), F.col("l.n").alias("m"), F.col("l.pos").alias("at"), "members"), "leaders")
+        met = entries.join(leaders, "h").where(self._may("cid <> a")).select("a", F.col("cid").alias("b"))
+        labels = self._checked(docs, scratch, classes, labels, met)
+        # the leader has met everyone; a list is done if it has two members or one component besides
+        rest = entries.join(leaders.where("members > 2").select("h", "a"), "h").where("cid <> a").drop("a").join(labels, "cid")
+        several = rest.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("left"), F.min("n").alias("least")).where("lo <> hi").select("h", "left", "least")
+        # a member stays if a set as small as the list's smallest could link with it
+        rest = scratch.keep(rest.join(several, "h").where(f"{100 + self.percent}L * (n - pos) >= {self.percent}L * (n + least)").drop("least"), "open")
+        scratch.drop("leaders")
+        return labels, rest
+
+    def _refined(self, docs: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+        """New list entries (h, cid, n, pos) of members (cid, n, comp) of several components.
+
+        Two members of different components that link meet in one of the lists.
+        An element in one component only is in no common part, so it comes first
+        in the order and has no list.
+        """
+        items = self._sets(docs, classes.join(members, "cid", "left_semi").select("doc_id", "cid")).dropDuplicates(["cid"])
+        each = items.join(members, "cid").select("cid", "n", "comp", F.explode("items").alias("h"))
+        holders = each.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("holders")).where("lo <> hi").select("h", "holders")
+        own = Window.partitionBy("cid")
+        ranked = each.join(holders, "h").select("h", "cid", "n", F.row_number().over(own.orderBy("holders", "h")).alias("r"), F.count("*").over(own).cast("int").alias("shared"))
+        return ranked.select("h", "cid", "n", (F.col("n") - F.col("shared") + F.col("r") - 1).alias("pos")).where(F.expr(f"pos <= n - cast(ceil({self.percent}L * n / 100) as int)"))
+
     def components(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_shingles, component_id of each row."""
         scratch, percent = Scratch(docs.sparkSession, "jaccard"), self.percent
         rows = scratch.keep(self._classes(docs), "rows")
-        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
+        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
         sizes = {r.n: r["count"] for r in classes.where("n <= 64").groupBy("n").count().collect()}
         most = boundary(sizes, percent)
         lists = scratch.keep(self._lists(docs, self._heavy(docs, scratch), most), "lists")
-        labels = scratch.keep(lists.select("cid").distinct().withColumn("comp", F.col("cid")), "labels")
+        n_classes = classes.count()
+        labels = scratch.keep(lists.select("cid").distinct().withColumn("comp", F.col("cid")), "labels", n_classes)
 
         small = lists.where("pos < 0")
         least = small.groupBy("h").agg(F.min(F.struct("n", "cid")).alias("s")).select("h", F.col("s.n").alias("m"), F.col("s.cid").alias("a"))
         sure = small.join(least, "h").where(F.expr(f"cid <> a AND -100L * pos >= {percent}L * (m + n + pos)"))
-        labels = self._contract(scratch, labels, scratch.keep(sure.select("a", F.col("cid").alias("b")).distinct(), "sure"))
+        labels = self._contract(scratch, labels, scratch.keep(sure.select("a", F.col("cid").alias("b")).distinct(), "sure", n_classes), n_classes)
 
-        large = scratch.keep(self._ranked(lists.where("pos >= 0"), classes), "ranked")
-        scratch.drop("lists")
-        folds = range(FOLDED // 64)
-        a = large.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("rank").alias("r"), *[F.col(f"f{i}").alias(f"g{i}") for i in folds])
-        b = large.select("h", F.col("cid").alias("b"), "n", "pos", "rank", *[f"f{i}" for i in folds])
-        # at most so many elements are common: those before the shared one and those from it on
-        differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in folds)
-        may = F.expr(f"x <> y AND rank > r AND 100L * least(m, n) >= {percent}L * greatest(m, n) AND (100L + {percent}L) * (least(at, pos) + least(m - at, n - pos)) >= {percent}L * (m + n) AND {100 + percent}L * ({differ}) <= {100 - percent}L * (m + n)")
-        turn, last = 1, self.rounds < 1
+        entries = lists.where("pos >= 0")
+        left, level = [], 0
         while True:
-            x, y = labels.select(F.col("cid").alias("a"), F.col("comp").alias("x")), labels.select(F.col("cid").alias("b"), F.col("comp").alias("y"))
-            named = b.join(y, "b")
-            # lists within one component are done
-            several = named.groupBy("h").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo <> hi").select("h")
-            left = a.where(F.col("r") >= turn) if last else a.where(F.col("r") == turn)
-            met = named.join(several, "h", "left_semi").join(left.join(x, "a"), "h").where(may).select("a", "b").distinct()
-            pairs = scratch.keep(self._near(met, classes), "pairs")
-            found = not pairs.isEmpty()
-            if found:
-                wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
-                sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")), "sets")
-                labels = self._contract(scratch, labels, scratch.keep(self._linked(pairs, sets), "links"))
-                scratch.drop("sets")
-            if last:
+            before = labels
+            labels, rest = self._led(docs, scratch, classes, labels, entries)
+            scratch.drop("entries" if level else "lists")
+            long = rest.where(F.col("left") > self.short)
+            # new lists differ from those of the last turn only if components were joined
+            if level == self.refinements or level and labels is before or long.isEmpty():
+                left.append((level, rest))
                 break
-            turn += 1
-            last = turn > self.rounds or not found
-        scratch.drop("ranked")
+            left.append((level, rest.where(F.col("left") <= self.short)))
+            members = scratch.keep(long.select("cid", "n", "comp").distinct(), "members", n_classes)
+            entries = scratch.keep(self._refined(docs, classes, members), "entries")
+            scratch.drop("members")
+            level += 1
+
+        folds = range(FOLDED // 64)
+        folded = [F.expr(" ^ ".join(f"bits[{j}]" for j in range(i, BITS // 64, FOLDED // 64))).alias(f"f{i}") for i in folds]
+        rest = left[0][1].withColumn("level", F.lit(0))
+        for at, more in left[1:]:
+            rest = rest.unionByName(more.withColumn("level", F.lit(at)))
+        rest = scratch.keep(rest.drop("comp").join(labels, "cid").join(classes.select("cid", *folded), "cid"), "rest")
+        a = rest.select("level", "h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("x"), *[F.col(f"f{i}").alias(f"g{i}") for i in folds])
+        differ = " + ".join(f"bit_count(f{i} ^ g{i})" for i in folds)
+        may = self._may("x <> comp AND a < cid") & F.expr(f"{100 + percent}L * ({differ}) <= {100 - percent}L * (m + n)")
+        labels = self._checked(docs, scratch, classes, labels, a.join(rest, ["level", "h"]).where(may).select("a", F.col("cid").alias("b")))
 
         named = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
         least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -337,7 +383,7 @@ class NgramJaccard:
         """
         scratch, percent = Scratch(docs.sparkSession, "jaccard-links"), self.percent
         rows = scratch.keep(self._classes(docs), "rows")
-        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits")), "classes")
+        classes = scratch.keep(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
         most = boundary({r.n: r["count"] for r in classes.where("n <= 64").groupBy("n").count().collect()}, percent)
         lists = scratch.keep(self._lists(docs, self._heavy(docs, scratch), most), "lists")
 
@@ -345,8 +391,7 @@ class NgramJaccard:
         met = a.join(lists.select("h", F.col("cid").alias("b"), "n", "pos"), "h").where("a < b")
         # a common subset is enough for small sets: of their intersection's size there is one
         sure = met.where(F.expr(f"at < 0 AND at = pos AND -100L * pos >= {percent}L * (m + n + pos)")).select("a", "b").distinct()
-        may = F.expr(f"at >= 0 AND pos >= 0 AND 100L * least(m, n) >= {percent}L * greatest(m, n) AND (100L + {percent}L) * (least(at, pos) + least(m - at, n - pos)) >= {percent}L * (m + n)")
-        pairs = scratch.keep(self._near(met.where(may).select("a", "b").distinct(), classes), "pairs")
+        pairs = scratch.keep(self._near(met.where(self._may("at >= 0 AND pos >= 0")).select("a", "b").distinct(), classes), "pairs")
         wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cid")
         sets = scratch.keep(self._sets(docs, classes.join(wanted, "cid", "left_semi").select("doc_id", "cid")).dropDuplicates(["cid"]), "sets")
         return sure.union(self._linked(pairs, sets)).distinct()

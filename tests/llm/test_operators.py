@@ -78,7 +78,7 @@ def test_ngram_jaccard(docs, rows, empty):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("options", [{"rounds": 1, "heavy_from": 2}, {"rounds": 1, "heavy_slots": 0}, {"percent": 60, "k": 2}])
+@pytest.mark.parametrize("options", [{"heavy_from": 2}, {"short": 2, "heavy_slots": 0}, {"short": 2, "refinements": 0}, {"percent": 60, "k": 2}, {"percent": 60, "k": 2, "short": 2, "broadcast_rows": 0}])
 def test_ngram_jaccard_at_other_parameters(docs, rows, options):
     want = components(rows, options.get("percent", 80), options.get("k", 5))
     assert as_rows(NgramJaccard(**options).components(docs)) == ordered(want)
@@ -114,10 +114,28 @@ def test_chains_of_near_copies(spark):
     """Each text is similar to the next ones only, so one component needs many links."""
     w = [f"v{i}" for i in range(400)]
     rows = [(i, " ".join(w[6 * i : 6 * i + 100])) for i in range(40)]
-    got = NgramJaccard(rounds=1).components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = NgramJaccard(short=2).components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert as_rows(got) == ordered(components(rows))
 
 
+@pytest.mark.parametrize("options", [{}, {"short": 4}, {"short": 4, "refinements": 0, "heavy_slots": 0}])
+def test_a_large_group_of_near_copies(spark, options):
+    """Copies of one text, of which about half are too far from it to link."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"v{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for j in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            w[j] = rng.choice([f"x{i}", f"x{rng.randrange(3)}", ""])
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(base[10 * i : 10 * i + 40] + [f"y{i}"] * 5)) for i in range(8)]
+    got = NgramJaccard(heavy_from=4, **options) if not options.get("refinements", 1) else NgramJaccard(**options)
+    assert as_rows(got.components(spark.createDataFrame(rows, "doc_id long, text string"))) == ordered(components(rows))
+
+
 def removed(rows, window=50):
     words = [SPACED.findall(t or "") for _, t in rows]
     least = {}
@@ -231,23 +249,31 @@ def test_sharding(docs, rows, empty):
 
 
 def test_capacity_is_minimal(spark):
-    rng = np.random.default_rng(5)
-    for bits, shards in ((4, 3), (5, 7), (3, 8), (5, 1)):
-        for _ in range(3):
-            sizes = [int(x) for x in rng.integers(0, 50, 1 << bits)]
-            row = Sharding(shards, cell_bits=bits).cuts(spark.createDataFrame(list(enumerate(sizes)), "cell int, size long")).first()
-
-            def need(cap):
-                n, now = 1, 0
-                for x in sizes:
-                    if now + x > cap:
-                        n, now = n + 1, 0
-                    now += x
-                return n
-
-            best = next(c for c in range(max(sizes), sum(sizes) + 1) if need(c) <= shards)
-            parts = [sum(sizes[a:b]) for a, b in zip(row.cuts, row.cuts[1:])]
-            assert row.capacity == best and len(parts) == shards and sum(parts) == sum(sizes) and max(parts) <= best
+    """Over the groups themselves, also where runs hold many of them."""
+    import random
+
+    rng = random.Random(3)
+    for n, shards, bits, large in ((1, 3, 2, 9), (30, 4, 2, 9), (400, 7, 3, 50), (400, 5, 1, 3000), (60, 40, 4, 9), (500, 6, 0, 1)):
+        sizes = sorted({rng.randrange(1 << 60): rng.randint(1, large) for _ in range(n)}.items())
+        if n == 400:
+            sizes += [(sizes[-1][0] + i, 5) for i in range(1, 4)]  # neighbours to the last bit
+        values = [x for _, x in sizes]
+
+        def needed(capacity):
+            count, left = 1, capacity
+            for x in values:
+                count, left = (count, left - x) if x <= left else (count + 1, capacity - x)
+            return count
+
+        least = next(c for c in range(max(values), sum(values) + 1) if needed(c) <= shards)
+        capacity, cuts = Sharding(shards, cell_bits=bits).cuts(spark.createDataFrame(sizes, "key long, size long"))
+        assert capacity == least and cuts == sorted(cuts) and len(cuts) == shards - 1
+        held = [0] * shards
+        for key, x in sizes:
+            held[sum(key >= c for c in cuts)] += x
+        assert max(held) <= capacity
+        if shards * max(values) < sum(values) / 4:
+            assert min(held) > 0.6 * sum(values) / shards
 
 
 def test_license_scan(spark, docs, rows, empty):
