@@ -8,17 +8,23 @@ statistics, trained from labelled urls.
 Labelled urls are those that a rule decides, unless others are given. Statistics
 of suffixes and first segments are counted over all of them and joined to the
 urls. Training of the trees takes ``sample`` of them at most, those with the
-smallest hashes, so the same urls at any partitioning. Every url is scored. A
+smallest hashes, so the same urls at any partitioning. A url that trains trees
+gets its statistics from the other folds of the labelled urls, never from its
+own label, and one fold in ``FOLDS`` gets those of an unknown suffix, another
+those of an unknown segment, so that trees also learn to judge without them.
+Each tree chooses among a part of the features, in turn. Every url is scored. A
 model of ``fit`` stands alone: its statistics are those of its sample.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
-fits no rule and is scored like others. Rows may repeat. Without labelled urls
-of both kinds every url gets the verdict of the one there is, or allow.
+fits no rule and is scored like others. Rows may repeat. A url of any length is
+scored as a whole, in small batches. Columns other than ``page_id`` and ``url``
+aren't read, so they may have any names. Without labelled urls of both kinds
+every url gets the verdict of the one there is, or allow.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, bounded_batches
 
 # Rules as given, (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -39,7 +45,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
     host = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit(""))
     path = F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return F.translate(host, _UPPER, _LOWER), path
 
 
 def by_rules(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
@@ -54,10 +60,22 @@ def by_rules(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "host_entropy", "parameters", "parameter_length", "fragment", "suffix_rate", "suffix_count", "segment_rate")
 
 
-def _entropy(text: str) -> float:
-    n = len(text)
-    counts = np.array([*Counter(text).values()], dtype=float) / n if n else np.ones(1)
-    return float(-(counts * np.log2(counts)).sum())
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)
+_DIGITS = np.arange(48, 58)
+
+
+def _bytes(texts: list[str]) -> np.ndarray:
+    """How often each byte stands in each text."""
+    raw = [x.encode() for x in texts]
+    row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+    return np.bincount(row * 256 + np.frombuffer(b"".join(raw), dtype=np.uint8), minlength=256 * len(raw)).reshape(-1, 256)
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits a byte of each row."""
+    share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return -(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1)
 
 
 def suffix(host: str) -> str:
@@ -71,7 +89,7 @@ def _split(url: str | None) -> tuple[str, str, str, str]:
     rest, _, fragment = rest.partition("#")
     rest, _, query = rest.partition("?")
     host, slash, path = rest.partition("/")
-    return host, slash + path, query, fragment
+    return host.translate(_TO_LOWER), slash + path, query, fragment
 
 
 def segment(path: str) -> str:
@@ -83,11 +101,11 @@ def suffix_and_segment(url: Column) -> tuple[Column, Column]:
     """``suffix`` and ``segment`` of a url as expressions."""
     rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3)).otherwise("")
     rest = F.substring_index(F.substring_index(F.coalesce(rest, F.lit("")), "#", 1), "?", 1)
-    host = F.substring_index(rest, "/", 1)
+    host = F.translate(F.substring_index(rest, "/", 1), _UPPER, _LOWER)
     return F.substring_index(host, ".", -2), F.substring_index(F.substr(rest, F.length(host) + 2), "/", 1)
 
 
-PRIOR, SMOOTH = 0.5, 5.0
+PRIOR, SMOOTH, FOLDS = 0.5, 5.0, 5
 #: Rate and count of the suffix and rate of the segment of a row.
 STATISTICS = ("_suffix_rate", "_suffix_count", "_segment_rate")
 
@@ -104,17 +122,16 @@ class UrlModel:
 
     def features(self, urls: list[str | None], statistics: list[tuple[float, float, float]] | None = None) -> np.ndarray:
         """Features of urls, with the model's own statistics or those given for each url."""
-        rows = []
-        for i, url in enumerate(urls):
-            host, path, query, fragment = _split(url)
-            text = url or ""
-            if statistics is None:
-                rate, count, first = *self.suffixes.get(suffix(host), (self.prior, 0.0)), self.segments.get(segment(path), (self.prior, 0.0))[0]
-            else:
-                rate, count, first = statistics[i]
-            digits = sum(c.isdigit() for c in text)
-            rows.append((len(text), len(host), len(path), path.count("/"), host.count(".") + 1, digits / max(1, len(text)), sum(c.isdigit() for c in host), host.count("-"), _entropy(text), _entropy(host), query.count("=") + query.count("&"), len(query), len(fragment), rate, count, first))
-        return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
+        parts = [_split(u) for u in urls]
+        if statistics is None:
+            unknown = (self.prior, 0.0)
+            statistics = [(*self.suffixes.get(suffix(h), unknown), self.segments.get(segment(p), unknown)[0]) for h, p, *_ in parts]
+        host, path, query, fragment = ([x[i] for x in parts] for i in range(4))
+        all_bytes, host_bytes, path_bytes, query_bytes = (_bytes(x) for x in ([u or "" for u in urls], host, path, query))
+        length = all_bytes.sum(axis=1)
+        columns = [length, host_bytes.sum(axis=1), path_bytes.sum(axis=1), path_bytes[:, 47], host_bytes[:, 46] + 1, all_bytes[:, _DIGITS].sum(axis=1) / np.maximum(length, 1), host_bytes[:, _DIGITS].sum(axis=1), host_bytes[:, 45], _entropy(all_bytes), _entropy(host_bytes), query_bytes[:, 61] + query_bytes[:, 38], query_bytes.sum(axis=1), np.array([len(x) for x in fragment])]
+        given = np.array(statistics, dtype=float).reshape(-1, 3)
+        return np.column_stack([*columns, *given.T]).astype(float).reshape(-1, len(FEATURES))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of block."""
@@ -127,30 +144,61 @@ class UrlModel:
         return 1 / (1 + np.exp(-out))
 
 
-def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, smooth: float = SMOOTH, statistics: list[tuple[float, float, float]] | None = None) -> UrlModel:
-    """Newton boosting of logistic loss over binned features; ties go to the first feature and the lowest threshold."""
+def fold(url: str) -> int:
+    return zlib.crc32(url.encode()) % FOLDS
+
+
+def rates(keys: list[str], labels: np.ndarray, weight: np.ndarray) -> dict[str, tuple[float, float]]:
+    """Smoothed share of blocked urls and logarithm of the number by key."""
+    sums: dict[str, list[float]] = {}
+    for key, label, w in zip(keys, labels, weight):
+        s = sums.setdefault(key, [0.0, 0.0])
+        s[0] += label * w
+        s[1] += w
+    return {k: ((a + SMOOTH * PRIOR) / (n + SMOOTH), float(np.log1p(n))) for k, (a, n) in sums.items()}
+
+
+def _weights(y: np.ndarray) -> np.ndarray:
+    """Both kinds weigh the same."""
+    return np.where(y > 0, PRIOR / y.mean(), PRIOR / (1 - y.mean()))
+
+
+def masked(folds: np.ndarray, statistics: np.ndarray) -> np.ndarray:
+    """Statistics for training: one fold without suffix, the next without segment."""
+    out = statistics.copy()
+    out[folds == 0, :2] = PRIOR, 0.0
+    out[folds == 1, 2] = PRIOR
+    return out
+
+
+def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 32, part: int = 3, statistics: list[tuple[float, float, float]] | None = None) -> UrlModel:
+    """Newton boosting of logistic loss over binned features; ties go to the first feature and the lowest threshold.
+
+    Tree i chooses among the features whose place is i modulo ``part`` apart from
+    its own, so none is always there. Given statistics must not hold a url's own label.
+    """
     y = np.array(blocked, dtype=float)
     if not len(y) or y.min() == y.max():
         return UrlModel(bias=20.0 if len(y) and y[0] else -20.0)
-    prior = PRIOR
-    weight = np.where(y > 0, prior / y.mean(), prior / (1 - y.mean()))  # both kinds weigh the same
-
-    def rates(keys: list[str]) -> dict[str, tuple[float, float]]:
-        sums: dict[str, list[float]] = {}
-        for key, label, w in zip(keys, y, weight):
-            s = sums.setdefault(key, [0.0, 0.0])
-            s[0] += label * w
-            s[1] += w
-        return {k: ((a + smooth * prior) / (n + smooth), float(np.log1p(n))) for k, (a, n) in sums.items()}
-
-    parts = [_split(u) for u in urls]
-    model = UrlModel(prior=prior, suffixes=rates([suffix(h) for h, *_ in parts]), segments=rates([segment(p) for _, p, *_ in parts]))
-    x = model.features(urls, statistics)
+    weight = _weights(y)
+    parts, folds = [_split(u) for u in urls], np.array([fold(u) for u in urls])
+    keys = [suffix(h) for h, *_ in parts], [segment(p) for _, p, *_ in parts]
+    model = UrlModel(prior=PRIOR, suffixes=rates(keys[0], y, weight), segments=rates(keys[1], y, weight))
+    if statistics is None:
+        given = np.zeros((len(y), 3))
+        for f in range(FOLDS):
+            others, own = folds != f, np.flatnonzero(folds == f)
+            known = [rates([k for k, o in zip(key, others) if o], y[others], weight[others]) for key in keys]
+            for i in own.tolist():
+                given[i] = *known[0].get(keys[0][i], (PRIOR, 0.0)), known[1].get(keys[1][i], (PRIOR, 0.0))[0]
+    else:
+        given = np.array(statistics, dtype=float)
+    x = model.features(urls, masked(folds, given))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = [np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)]
     margin = np.full(len(y), model.bias)
     inner = 2**depth - 1
-    for _ in range(trees):
+    for turn in range(trees):
         p = 1 / (1 + np.exp(-margin))
         g, h = weight * (p - y), weight * p * (1 - p)
         node = np.zeros(len(y), dtype=np.intp)
@@ -159,7 +207,7 @@ def train(urls: list[str], blocked: list[bool], trees: int = 40, depth: int = 3,
             here = np.flatnonzero(node == k)
             best, cut = 1e-9, None
             for j, e in enumerate(edges):
-                if not len(here) or not len(e):
+                if not len(here) or not len(e) or part > 1 and j % part == turn % part:
                     continue
                 gs, hs = (np.bincount(binned[j][here], weights=v[here], minlength=len(e) + 1) for v in (g, h))
                 gl, hl = np.cumsum(gs)[:-1], np.cumsum(hs)[:-1]
@@ -197,30 +245,40 @@ class UrlFilter:
         """A model from (url, blocked) rows, and what adds to rows with a url the statistics over all labelled urls."""
         scratch = Scratch(labelled.sparkSession, "urls")
         last, first = suffix_and_segment(F.col("url"))
-        some = scratch.keep(self._labelled(labelled).select("url", "blocked", last.alias("_suffix"), first.alias("_segment")), "labelled")
+        some = scratch.keep(self._labelled(labelled).select("url", "blocked", last.alias("_suffix"), first.alias("_segment"), F.pmod(F.crc32("url"), F.lit(FOLDS)).cast("int").alias("_fold")), "labelled")
         totals = some.agg(F.count("*").alias("n"), F.count_if("blocked").alias("blocked")).first()
         bad, good = (PRIOR * totals.n / max(1, x) for x in (totals.blocked, totals.n - totals.blocked))  # both kinds weigh the same
 
+        blocked, count = F.count_if("blocked") * bad, F.count_if("blocked") * bad + F.count_if(~F.col("blocked")) * good
+
         def table(key: str) -> DataFrame:
-            n = F.count_if("blocked") * bad + F.count_if(~F.col("blocked")) * good
-            rate = (F.count_if("blocked") * bad + SMOOTH * PRIOR) / (n + SMOOTH)
-            return scratch.keep(some.groupBy(key).agg(rate.alias(f"{key}_rate"), F.log1p(n).alias(f"{key}_count")), key.strip("_"))
+            by_fold = some.groupBy(key, "_fold").agg(blocked.alias("b"), count.alias("n"))
+            return scratch.keep(by_fold.groupBy(key).agg(F.sum("b").alias(f"{key}_b"), F.sum("n").alias(f"{key}_n"), F.map_from_entries(F.collect_list(F.struct("_fold", F.struct("b", "n")))).alias(f"{key}_own")), key.strip("_"))  # FOLDS entries
+
+        by_suffix, by_segment = table("_suffix"), table("_segment")
+
+        def add(rows: DataFrame, own_fold: Column | None = None) -> DataFrame:
+            """Adds STATISTICS, without what the given fold counts."""
+            joined = rows.withColumns({"_suffix": last, "_segment": first}).join(by_suffix, "_suffix", "left").join(by_segment, "_segment", "left")
 
-        by_suffix, by_segment = table("_suffix"), table("_segment").drop("_segment_count")
+            def less(key: str, name: str) -> Column:
+                all_of = F.coalesce(F.col(f"{key}_{name}"), F.lit(0.0))
+                return all_of if own_fold is None else all_of - F.coalesce(F.get(F.transform(F.array(F.element_at(f"{key}_own", own_fold)), lambda x: x[name]), F.lit(0)), F.lit(0.0))
 
-        def add(rows: DataFrame) -> DataFrame:
-            keyed = rows.withColumns({"_suffix": last, "_segment": first})
-            return keyed.join(by_suffix, "_suffix", "left").join(by_segment, "_segment", "left").drop("_suffix", "_segment").fillna({"_suffix_rate": PRIOR, "_suffix_count": 0.0, "_segment_rate": PRIOR})
+            rate = lambda key: (less(key, "b") + SMOOTH * PRIOR) / (less(key, "n") + SMOOTH)
+            return joined.select(*rows.columns, rate("_suffix").alias("_suffix_rate"), F.log1p(less("_suffix", "n")).alias("_suffix_count"), rate("_segment").alias("_segment_rate"))
 
-        hashed = some.select("url", "blocked", F.xxhash64("url").alias("_hash")).orderBy("_hash", "url").limit(self.sample)
-        rows = sorted(add(hashed).collect(), key=lambda r: (r._hash, r.url))  # sample rows at most
+        hashed = some.select("url", "blocked", "_fold", F.xxhash64("url").alias("_hash")).orderBy("_hash", "url").limit(self.sample)
+        rows = sorted(add(hashed, F.col("_fold")).collect(), key=lambda r: (r._hash, r.url))  # sample rows at most
         return train([r.url for r in rows], [r.blocked for r in rows], statistics=[tuple(r[c] for c in STATISTICS) for r in rows]), add
 
-    def judge(self, pages: DataFrame, model: UrlModel | None = None) -> DataFrame:
+    def judge(self, pages: DataFrame, model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
         """page_id, url, host, path, rule, verdict, score (probability of block) of each row."""
         ruled = self._ruled(pages.select("page_id", "url"))
+        bounded_batches(pages.sparkSession)
         if model is None:
-            model, add = self.fit_with_statistics(ruled.where("_rule IS NOT NULL").select("url", (F.col("_rule.verdict") == "block").alias("blocked")))
+            by_rule = ruled.where("_rule IS NOT NULL").select("url", (F.col("_rule.verdict") == "block").alias("blocked"))
+            model, add = self.fit_with_statistics(by_rule if labelled is None else labelled)
             ruled = add(ruled) if model.trees else ruled
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
