@@ -1,104 +1,164 @@
 """Sharding by minimax contiguous partition, in DataFrame expressions only.
 
-Equal texts are one group and groups are ordered by a hash of the text. Runs of
-neighbouring groups, ``2 ** cell_bits`` of them however large the input, are the
-atoms: their sizes, in order, are a bounded array. Binary search finds the
-smallest capacity for which greedy filling needs no more shards than there are;
-then the shards are cut there: none exceeds the capacity, and each cut is the
-feasible one nearest to an equal share of what is left.
+Equal texts are one group and groups are ordered by a hash of the text. The
+smallest capacity is that for which greedy filling needs no more shards than
+there are, found by binary search over the sizes of the groups in their order.
+
+The driver never holds all groups. It has the sizes of runs of neighbouring
+groups, at first ``2 ** cell_bits`` of them. Taken as indivisible, runs give an
+upper bound of the capacity; taken as divisible at will, a lower one. Only runs
+that a cut can fall into for a capacity between the two are split, by the next
+bits of the hash, until the cuts are between groups and the capacity is exact.
+These are some ``shards ** 2`` runs a turn, however many groups there are.
+
+The cuts keep every shard within the smallest capacity. Filling each shard up to
+it would leave the last one nearly empty, so each cut is the one nearest to an
+equal share of all bytes that still lets the rest fit.
 
 Rows are numbered within a shard by cell, then by a salt of the id and the id,
 so a group with a third of all rows is numbered in ``salts`` tasks.
 
 Defined results: a null text has size 16, checksum 0 and is one group with the
 empty text. Rows may repeat; each gets a slot. Null ids are numbered like others.
+A very long text is a group like others, and no shard is smaller than its largest
+group. Without rows there is no shard. Only ``doc_id`` and ``text`` are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._expr import let
 from ._store import Scratch
 
 SHARDS = 40
+#: Bits of a group's hash, and of it in each further split of a run.
+KEY_BITS, SPLIT_BITS = 60, 6
+
+
+class Runs:
+    """Sizes of runs of groups in their order; ``single`` tells runs of one group.
+
+    Positions are sums of sizes before a place.
+    """
+
+    def __init__(self, sizes: list[int], single: list[bool]):
+        self.sizes, self.single = sizes, single
+        self.ends = [0, *accumulate(sizes)]
+        self.total = self.ends[-1]
+
+    def run_at(self, position: int) -> int:
+        """The run that the position is in or at the start of."""
+        return bisect_right(self.ends, position) - 1
+
+    def down(self, position: int, divisible: bool) -> int:
+        """The last place for a cut up to the position."""
+        if position >= self.total:
+            return self.total
+        i = self.run_at(position)
+        return position if divisible and not self.single[i] else self.ends[i]
+
+    def up(self, position: int) -> int:
+        """The first place for a cut from the position on."""
+        return 0 if position <= 0 else self.ends[bisect_left(self.ends, position)]
+
+    def fill(self, capacity: int, shards: int, divisible: bool) -> list[int]:
+        """Where each of the shards ends if filled greedily."""
+        out, at = [], 0
+        for _ in range(shards):
+            at = self.down(at + capacity, divisible)
+            out.append(at)
+        return out
+
+    def capacity(self, shards: int, divisible: bool) -> int:
+        """The smallest one."""
+        least = max((s for s, one in zip(self.sizes, self.single) if one or not divisible), default=0)
+        lo = max(-(-self.total // shards), least)
+        hi = max(lo, self.total)
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.fill(mid, shards, divisible)[-1] >= self.total:
+                hi = mid
+            else:
+                lo = mid + 1
+        return hi
+
+    def between(self, low: int, high: int) -> set[int]:
+        """Runs of several groups that hold a position from low to high."""
+        return {i for i in range(max(0, self.run_at(low)), min(self.run_at(high), len(self.sizes) - 1) + 1) if not self.single[i] and self.ends[i] < high + 1 and self.ends[i + 1] > low}
+
+    def open(self, shards: int) -> set[int]:
+        """Runs to split before the capacity is known exactly."""
+        low, high = self.capacity(shards, True), self.capacity(shards, False)
+        return set().union(*(self.between(a, min(b, self.total)) for a, b in zip(self.fill(low, shards, False), self.fill(high, shards, True))))
+
+    def cuts(self, shards: int) -> tuple[list[int], set[int]]:
+        """Positions of the cuts between shards, and the runs to split before they are exact."""
+        capacity, touched = self.capacity(shards, False), set()
+        first = [self.total]  # the first place for each cut that lets the rest fit, from the last cut on
+        for _ in range(shards - 1):
+            touched |= self.between(first[-1] - capacity, first[-1] - capacity)
+            first.append(self.up(first[-1] - capacity))
+        out = [0]
+        for s, least in zip(range(1, shards), reversed(first[1:])):
+            share, most = self.total * s // shards, self.down(out[-1] + capacity, False)
+            touched |= self.between(share, share) | self.between(out[-1] + capacity, out[-1] + capacity)
+            near = min(self.down(share, False), self.up(share), key=lambda p: abs(p - share))
+            out.append(max(min(max(near, least), most), out[-1]))
+        return out[1:], touched
 
 
 class Sharding:
     def __init__(self, shards: int = SHARDS, cell_bits: int = 14, salts: int = 256):
         self.shards, self.cell_bits, self.salts = shards, cell_bits, salts
 
-    def _reach(self, sums: Column, target: Column) -> Column:
-        """Number of leading cells whose sum is at most target; sums[i] is that of i cells."""
-        steps = [1 << b for b in range(self.cell_bits, -1, -1)]
-        fits = lambda n, s: F.coalesce(F.get(sums, n + s) <= target, F.lit(False))
-        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda n, s: F.when(fits(n, s), n + s).otherwise(n))
-
-    def _fill(self, sums: Column, start: Column, shards: Column, capacity: Column) -> Column:
-        """Cells that so many shards of a capacity hold from a cell on, filled greedily."""
-        return F.aggregate(F.when(shards > 0, F.sequence(F.lit(1), F.greatest(shards, F.lit(1)))).otherwise(F.array().cast("array<int>")), start, lambda n, _: self._reach(sums, F.get(sums, n) + capacity))
-
-    def cuts(self, sizes: DataFrame) -> DataFrame:
-        """One row (capacity, cuts): cuts[s] is the first cell of shard s, then the number of cells.
-
-        ``sizes`` is (cell, size) for the cells that occur.
-        """
-        cells, shards = 1 << self.cell_bits, self.shards
-        filled = sizes.sparkSession.range(cells).select(F.col("id").cast("int").alias("cell")).join(F.broadcast(sizes), "cell", "left").select("cell", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-        running = filled.agg(F.sort_array(F.collect_list(F.struct("cell", "size"))).alias("c"))  # 2 ** cell_bits entries
-        one = running.select(F.transform("c", lambda x: x.size).alias("sizes"))
-        # sums by doubling, each step one pass over the array
-        sums = F.col("sizes")
-        one = one.withColumn("sums", F.col("sizes"))
-        for b in range(self.cell_bits):
-            back = F.lit(1 << b)
-            one = one.select("sizes", F.transform("sums", lambda x, i: x + F.coalesce(F.get("sums", i - back), F.lit(0).cast("long"))).alias("sums"))  # noqa: B023
-        one = one.select("sizes", F.concat(F.array(F.lit(0).cast("long")), "sums").alias("sums"))
-        sums, total = F.col("sums"), F.get("sums", F.lit(cells))
-        low = F.greatest(F.ceil(total / shards), F.array_max("sizes"))
-        bounds = F.struct(low.cast("long").alias("lo"), (low + F.array_max("sizes")).cast("long").alias("hi"))
-
-        def halve(b: Column, _: Column) -> Column:
-            return let(F.floor((b.lo + b.hi) / 2).cast("long"), lambda mid: F.when(self._fill(sums, F.lit(0), F.lit(shards), mid) >= cells, F.struct(b.lo.alias("lo"), mid.alias("hi"))).otherwise(F.struct(F.least(mid + 1, b.hi).alias("lo"), b.hi.alias("hi"))))
-
-        one = one.withColumn("capacity", F.aggregate(F.sequence(F.lit(1), F.lit(64)), bounds, halve, lambda b: b.hi))
-
-        def cut(made: Column, s: Column) -> Column:
-            """The cut after the s-th shard."""
-            start = F.element_at(made, -1)
-            left = shards - s
-            share = F.get(sums, start) + (total - F.get(sums, start)) / (left + 1)
-            furthest = self._reach(sums, F.get(sums, start) + F.col("capacity"))
-            ok = lambda at: (at <= furthest) & (at >= start) & (self._fill(sums, at, left, F.col("capacity")) >= cells)
-            below = self._reach(sums, share.cast("long"))
-            closer = (F.coalesce(F.get(sums, below + 1), total) - share) < (share - F.get(sums, below))
-            choose = lambda n: let(F.least(n + F.when(closer, 1).otherwise(0), F.lit(cells)), lambda first: F.when(ok(first), first).when(ok(n), n).when(ok(n + 1), n + 1).otherwise(furthest))
-            return F.concat(made, F.array(let(below, choose)))
-
-        cuts = F.aggregate(F.sequence(F.lit(1), F.lit(max(shards - 1, 1))) if shards > 1 else F.array().cast("array<int>"), F.array(F.lit(0)), cut)
-        return one.select("capacity", F.concat(cuts, F.array(F.lit(cells))).alias("cuts"))
+    def _runs(self, sizes: DataFrame, bits: int, parent_bits: int = 0, parents: list[int] | None = None) -> list[tuple[int, int, int, bool]]:
+        """(first key, bits, size, single) of the runs by so many leading bits, all or those within given runs of fewer bits."""
+        some = sizes if parents is None else sizes.where(F.shiftright("key", KEY_BITS - parent_bits).isin(parents))
+        found = some.groupBy(F.shiftright("key", KEY_BITS - bits).alias("run")).agg(F.sum("size").alias("size"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+        return [(r.lo, bits, r["size"], r.lo == r.hi) for r in found]  # 2 ** cell_bits, or 2 ** SPLIT_BITS for each run split
+
+    def cuts(self, sizes: DataFrame) -> tuple[int, list[int]]:
+        """The smallest capacity and the first key of each shard but the first, for groups or parts of them (key, size)."""
+        found = sorted(self._runs(sizes, self.cell_bits))
+        steps: list[Callable[[Runs], set[int]]] = [lambda r: r.open(self.shards), lambda r: r.cuts(self.shards)[1]]
+        for step in steps:
+            while touched := step(Runs([x[2] for x in found], [x[3] for x in found])):
+                split = [found[i] for i in touched]
+                found = [x for i, x in enumerate(found) if i not in touched]
+                for bits in sorted({x[1] for x in split}):
+                    found += self._runs(sizes, min(bits + SPLIT_BITS, KEY_BITS), bits, sorted(x[0] >> (KEY_BITS - bits) for x in split if x[1] == bits))
+                found.sort()
+        runs = Runs([x[2] for x in found], [x[3] for x in found])
+        keys = [*(x[0] for x in found), 1 << KEY_BITS]
+        return runs.capacity(self.shards, False) if found else 0, [keys[bisect_left(runs.ends, at)] for at in runs.cuts(self.shards)[0]] if found else []
 
     def assign(self, docs: DataFrame) -> DataFrame:
         """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row."""
         scratch = Scratch(docs.sparkSession, "sharding")
         text = F.coalesce(F.col("text"), F.lit(""))
-        digest = F.md5(text)
-        cell = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % (1 << self.cell_bits)).cast("int")
-        rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), cell.alias("cell"), F.pmod(F.xxhash64("doc_id"), F.lit(self.salts)).cast("int").alias("salt"))
+        key = F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
+        rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"), F.pmod(F.xxhash64("doc_id"), F.lit(self.salts)).cast("int").alias("salt"))
         rows = scratch.keep(rows, "rows")
-        parts = scratch.keep(rows.groupBy("cell", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "parts")
-        cells = parts.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-        found = self.cuts(cells.select("cell", "size")).first()  # one row
-        # the shard of a cell: cuts at or before it, less one; empty shards share a cut
-        shard = sum((F.when(F.col("cell") >= c, 1).otherwise(0) for c in found.cuts[1:-1]), F.lit(0))
-        placed = cells.withColumn("shard", shard)
-        base = placed.select("cell", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("base"))  # 2 ** cell_bits rows at most
-        before = parts.select("cell", "salt", (F.sum("n").over(Window.partitionBy("cell").orderBy("salt")) - F.col("n")).alias("before")).join(F.broadcast(base), "cell")
-        within = Window.partitionBy("cell", "salt").orderBy("doc_id", "text_crc32", "size")
-        numbered = rows.withColumn("own", F.row_number().over(within) - 1).join(before, ["cell", "salt"])
+        groups = scratch.keep(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
+        _, cuts = self.cuts(groups)
+        # the shard of a key: cuts at or before it; empty shards share a cut
+        shard = sum((F.when(F.col("key") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+        placed = rows.withColumns({"shard": shard, "cell": F.shiftright("key", KEY_BITS - self.cell_bits).cast("int")})
+        parts = scratch.keep(placed.groupBy("shard", "cell", "salt").agg(F.count("*").alias("n")), "parts")
+        running = lambda by, order: F.sum("n").over(Window.partitionBy(*by).orderBy(order)) - F.col("n")
+        base = parts.groupBy("shard", "cell").agg(F.sum("n").alias("n")).select("shard", "cell", running(["shard"], "cell").alias("base"))  # 2 ** cell_bits and shards rows at most
+        before = parts.select("shard", "cell", "salt", running(["shard", "cell"], "salt").alias("before")).join(F.broadcast(base), ["shard", "cell"])
+        within = Window.partitionBy("shard", "cell", "salt").orderBy("doc_id", "text_crc32", "size")
+        numbered = placed.withColumn("own", F.row_number().over(within) - 1).join(before, ["shard", "cell", "salt"])
         return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("before") + F.col("own")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 of near equal bytes, no group of equal texts apart."""
     return Sharding().assign(spark.read.parquet(f"{sf_dir}/documents.parquet"))

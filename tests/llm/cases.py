@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import Row
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, words string, row string, h string"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, words string, row string, h string, _id string, _key string, starts string, id string, key string, cid string, block string, label string"
 
 
 def texts(n=60, seed=7):
@@ -27,9 +27,9 @@ def texts(n=60, seed=7):
 
 def documents(spark, with_odd=True):
     found = texts()
-    rows = [(i, t, "en", None, len(t or ""), "clash", "clash", "clash") for i, t in enumerate(found)]
+    rows = [(i, t, "en", None, len(t or ""), *["clash"] * 11) for i, t in enumerate(found)]
     if with_odd:
-        rows += [(None, "a text without an id that is long enough", None, None, None, None, None, None), rows[30], rows[30]]
+        rows += [(None, "a text without an id that is long enough", *[None] * 14), rows[30], rows[30]]
     return spark.createDataFrame(rows, COLUMNS).repartition(3)
 
 
