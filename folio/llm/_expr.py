@@ -21,7 +21,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, _UPPER, _LOWER)
+    # lower() is fast, and the same where all characters are ASCII
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
 def words(text: Column, between: str) -> Column:
@@ -37,3 +38,15 @@ def index(n: Column) -> Column:
 def rolling(hashes: Column, k: int) -> Column:
     """A hash of each k consecutive elements."""
     return F.transform(index(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(k)]))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, changed as far as needed to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -3,7 +3,8 @@
 Of every ``window - gram + 1`` consecutive ``gram``-word hashes of a text the
 smallest is kept as a fingerprint. A span of ``window`` words that stands in a
 document and in an item has the same hashes in both, hence a fingerprint in
-common: joining fingerprints finds every shared window. Each hit is then
+common: joining fingerprints finds every shared window. Only hashes and places
+are joined; the words of texts with hits are then read once more, and each hit is
 extended word by word to both sides, as far as a window with it reaches, and
 counts if the extended span has ``window`` words or more.
 
@@ -14,8 +15,9 @@ window), and a hit must be the item.
 Defined results: a null or empty text has no words, whether a document or an
 item; such an item occurs nowhere. Items may repeat, under one id or several;
 each distinct id counts once and a null id doesn't count, though its text does.
-Each row of documents is judged by itself, also if ids repeat or are null.
-Columns other than ids and texts aren't read.
+Each row of documents is judged by itself, also if ids repeat or are null. A very
+long text is one row of words but its hits are rows of their own. Columns other
+than ids and texts aren't read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._expr import NOT_ALNUM, ascii_lower, index, let, rolling, words
+from ._store import Scratch
 
 WINDOW, GRAM = 10, 5
-#: Fingerprint rows of items up to which they are broadcast: about 300 bytes each with their context.
+#: Distinct fingerprints of items up to which they are broadcast, as two numbers each.
 BROADCAST_ROWS = 200_000
 
 
@@ -60,67 +63,72 @@ class Decontaminator:
         side = self.window - self.gram
         return F.transform(F.sequence(F.lit(-side), F.lit(self.window - 1)), lambda i: F.get(w, pos - 1 + i))
 
-    def _items(self, items: DataFrame) -> DataFrame:
-        n = F.size("w")
-        return items.select("item_id", words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w")).where(n > 0)
-
-    def spans(self, docs: DataFrame, items: DataFrame) -> DataFrame:
-        """Hits after extension, and one row for each document row.
-
-        (row, doc_id, text_key, n_words, item_id, first, end): words first to end - 1, from
-        1, stand in the item; the row without an item has nulls there.
-        """
+    def _found(self, docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, key, n_words) of each row of docs, and (id, key, first, end, items): words first to end - 1, from 1, stand in the items."""
         window, gram = self.window, self.gram
-        side = window - gram
-        item_words = self._items(items)
-        short = sorted(r.m for r in item_words.select(F.size("w").alias("m")).where(F.col("m") < window).distinct().collect())  # window - 1 rows at most
-        prints = item_words.select("item_id", "w", F.explode(_fingerprints(F.col("w"), window, gram, short)).alias("f")).where(F.when(F.col("f.kind") > 0, F.size("w") == F.col("f.kind")).otherwise(F.size("w") >= window))
-        known = prints.select("item_id", F.col("f.kind").alias("kind"), F.col("f.h").alias("h"), self._around(F.col("w"), F.col("f.pos")).alias("there")).distinct()
-
-        key = F.xxhash64("text").alias("text_key")
-        texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", key, words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w"))
+        side, scratch = window - gram, Scratch(docs.sparkSession, "decontamination")
+        # bound by let, as the optimizer would put a column's expression into the functions, to be computed for each element
+        w = words(ascii_lower(F.col("text")), NOT_ALNUM)
+        short = sorted(r.m for r in items.select(F.size(w).alias("m")).where(F.col("m").between(1, window - 1)).distinct().collect())  # window - 1 rows at most
+        own = lambda w, f: F.when(f.kind > 0, F.size(w) == f.kind).otherwise(F.size(w) >= window)
+        around = lambda w, f: F.struct(f.kind.alias("kind"), f.h.alias("h"), self._around(w, f.pos).alias("there"))
+        each = let(w, lambda w: F.transform(F.filter(_fingerprints(w, window, gram, short), lambda f: own(w, f)), lambda f: around(w, f)))
+        prints = items.select("item_id", F.explode(each).alias("f"))
+        # a window that many items share is one row
+        known = prints.select("item_id", "f.*").groupBy("kind", "h", "there").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+        known = scratch.keep(known, "known")
+        keys = known.select("kind", "h").distinct().withColumn("known", F.lit(True))
+
+        texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
         itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("h")))
-        found = texts.select("row", "doc_id", "text_key", "w", F.explode(F.concat(itself, _fingerprints(F.col("w"), window, gram, short))).alias("f"))
-        found = found.select("row", "doc_id", "text_key", "w", "f.pos", "f.kind", "f.h")
-        if known.count() <= self.broadcast_rows:
-            joined = found.join(F.broadcast(known), ["kind", "h"], "left").where("kind = -1 OR there IS NOT NULL")
-            hits = joined.select("row", "doc_id", "text_key", F.size("w").alias("n_words"), "item_id", "there", "pos", "kind", F.when(F.col("kind") >= 0, self._around(F.col("w"), F.col("pos"))).alias("here"))
-        else:  # only keys are shuffled; the words come from the texts again
-            keys = found.where("kind >= 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "pos", "kind", "h").distinct().join(known, ["kind", "h"]).drop("h")
-            nothing = [F.lit(None).cast(t).alias(c) for c, t in (("item_id", dict(items.dtypes)["item_id"]), ("there", "array<string>"), ("pos", "int"), ("kind", "int"), ("here", "array<string>"))]
-            again = texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-            hits = texts.select("row", "doc_id", "text_key", F.size("w").alias("n_words"), *nothing)
-            hits = hits.unionByName(again.select("row", "doc_id", "text_key", F.size("w").alias("n_words"), "item_id", "there", "pos", "kind", self._around(F.col("w"), F.col("pos")).alias("here")))
+        both = let(w, lambda w: F.struct(F.size(w).alias("n_words"), F.concat(itself, _fingerprints(w, window, gram, short)).alias("f")))
+        places = texts.select("id", "key", both.alias("both")).select("id", "key", "both.n_words", "both.f")
+        places = places.select("id", "key", "n_words", F.explode("f").alias("f")).select("id", "key", "n_words", "f.*")
+        if keys.count() <= self.broadcast_rows:
+            keys = F.broadcast(keys)
+        found = scratch.keep(places.join(keys, ["kind", "h"], "left").where("kind = -1 OR known").drop("known"), "found")
+
+        hits = found.where("kind >= 0").groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set(F.struct("pos", "kind", "h")).alias("hits"))  # of one text
+        again = texts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))).dropDuplicates(["id", "key"])
+        here = let(w, lambda w: F.transform("hits", lambda x: F.struct(x.pos.alias("pos"), x.kind.alias("kind"), x.h.alias("h"), self._around(w, x.pos).alias("here"))))
+        placed = again.select("id", "key", here.alias("f")).select("id", "key", F.explode("f").alias("f")).select("id", "key", "f.*").join(known, ["kind", "h"])
         # equal words at both sides; the gram is verified too
         same = F.transform(index(F.lit(window + side)), lambda i: F.coalesce(F.element_at("here", i) == F.element_at("there", i), F.lit(False)))
-        hits = hits.withColumn("same", F.when(F.col("here").isNotNull(), same))
+        placed = placed.withColumn("same", same).drop("here", "there")
         left = F.aggregate(F.slice("same", 1, side), F.lit(0), lambda run, x: F.when(x, run + 1).otherwise(0))
         right = F.aggregate(F.slice("same", side + gram + 1, side), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a.n + F.when(a.on & x, 1).otherwise(0)).alias("n"), (a.on & x).alias("on")), lambda a: a.n)
-        middle = F.forall(F.slice("same", side + 1, gram), lambda x: x)
-        hits = hits.withColumns({"left": F.when(F.col("kind") == 0, left), "right": F.when(F.col("kind") == 0, right), "exact": F.when(F.col("kind") > 0, F.forall(F.slice(F.col("same"), F.lit(side + 1), F.col("kind")), lambda x: x)).when(F.col("kind") == 0, middle)})
-        good = F.col("exact") & ((F.col("kind") > 0) | (F.col("left") + F.col("right") + gram >= window))
         whole = F.col("kind") > 0
-        first = F.when(whole, F.col("pos")).otherwise(F.col("pos") - F.col("left"))
-        end = F.when(whole, F.col("pos") + F.col("kind")).otherwise(F.col("pos") + gram + F.col("right"))
-        return hits.where("here IS NULL OR exact").where(F.col("here").isNull() | good).select("row", "doc_id", "text_key", "n_words", "item_id", first.alias("first"), end.alias("end"))
+        length = F.when(whole, F.col("kind")).otherwise(gram)
+        exact = F.forall(F.slice(F.col("same"), F.lit(side + 1), length), lambda x: x)
+        placed = placed.where(exact).withColumns({"left": F.when(whole, 0).otherwise(left), "right": F.when(whole, 0).otherwise(right)})
+        placed = placed.where(whole | (F.col("left") + F.col("right") + gram >= window))
+        spans = placed.select("id", "key", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + length + F.col("right")).alias("end"), "items")
+        return found.where("kind = -1").select("id", "key", "n_words"), spans
+
+    def spans(self, docs: DataFrame, items: DataFrame) -> DataFrame:
+        """(doc_id, first, end, items): words first to end - 1, from 1, of a document stand in the items."""
+        return self._found(docs, items)[1].select(F.col("id").alias("doc_id"), "first", "end", "items").distinct()
 
     def digests(self, docs: DataFrame, items: DataFrame) -> DataFrame:
         """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row."""
-        spans = self.spans(docs, items)
-        # a covered word counts once a row; word 0 stands for the row itself
-        covered = F.when(F.col("first").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.col("first"), F.col("end") - 1))
-        ids = F.col("item_id").cast("string")
-        by_word = spans.select("row", "doc_id", "n_words", ids.alias("item"), F.explode(covered).alias("at")).groupBy("row", "doc_id", "n_words", "at").agg(F.collect_set("item").alias("items"))
-        by_row = by_word.groupBy("row", "doc_id", "n_words").agg(F.count(F.when(F.col("at") > 0, 1)).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        return by_row.select("doc_id", F.col("n_words").cast("long"), "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        rows, spans = self._found(docs, items)
+        one = [F.col("id").alias("hit_id"), F.col("key").alias("hit_key")]
+        covered = spans.select(*one, F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("at")).distinct().groupBy("hit_id", "hit_key").agg(F.count("*").alias("n_hit"))
+        listed = spans.select(*one, "items").distinct().groupBy("hit_id", "hit_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hit = covered.join(listed.withColumnsRenamed({"hit_id": "_id", "hit_key": "_key"}), F.col("hit_id").eqNullSafe(F.col("_id")) & (F.col("hit_key") == F.col("_key"))).select("hit_id", "hit_key", "n_hit", "items")
+        out = rows.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
+        n_hit, ids = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+        return out.select(F.col("id").alias("doc_id"), F.col("n_words").cast("long"), n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
     def clean(self, docs: DataFrame, items: DataFrame) -> DataFrame:
         """The documents in whose text no window of an item occurs."""
-        hit = self.spans(docs, items).where("first IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-        return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+        hit = self._found(docs, items)[1].select("id", "key").distinct().select(F.struct("id", "key").alias("hit"))
+        # a struct of both columns, whatever names docs has
+        return docs.join(hit, F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("key")).eqNullSafe(hit["hit"]), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all of benchmark; see above for nulls and repeats."""
     return Decontaminator().digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
