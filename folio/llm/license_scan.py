@@ -10,7 +10,8 @@ Short phrases are templates too, with two-word grams; a phrase stands where its
 words stand consecutively, which all of its votes on one diagonal say.
 
 Defined results: a null or empty text has no words. Rows are judged each by
-itself, also if ids repeat or are null. Only ``doc_id`` and ``text`` are read.
+itself, also if ids repeat or are null; a very long text is scanned as a whole.
+Only ``doc_id`` and ``text`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._store import Scratch
 
 # The phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -91,11 +93,16 @@ class LicenseScan:
         """Verified spans (row, doc_id, n_words, label, phrase, first, end, score), and a row without label for each row of docs."""
         by_row = ["row", "doc_id", "n_words"]
         diagonal = self.votes(docs).groupBy(*by_row, "template", "label", "phrase", "votes", "words", (F.col("pos") - F.col("t")).alias("diagonal")).agg(F.countDistinct("t").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("t").alias("ts"))
+        diagonal = Scratch(docs.sparkSession, "licenses").keep(diagonal, "diagonals")  # texts are read once
         exact = diagonal.where("template IS NULL OR (phrase AND n = votes)").select(*by_row, "label", "phrase", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("words")).alias("end"), F.lit(1.0).alias("score"))
         own = Window.partitionBy("row", "template").orderBy("diagonal")
         islands = diagonal.where("NOT phrase").withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(own) <= self.drift, 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
-        merged = islands.groupBy(*by_row, "template", "label", "phrase", "votes", "words", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.min("lo").alias("first"), (F.max("hi") + self.gram).alias("end"))
-        sound = merged.withColumn("score", F.col("n") / F.col("votes")).where((F.col("score") >= self.share) & (F.col("end") - F.col("first") <= 2 * F.col("words")))
+        # an island longer than two templates falls apart into its diagonals
+        whole = Window.partitionBy("row", "template", "island")
+        length = F.max("hi").over(whole) + self.gram - F.min("lo").over(whole)
+        islands = islands.withColumn("piece", F.when(length > 2 * F.col("words"), F.col("diagonal")))
+        merged = islands.groupBy(*by_row, "template", "label", "phrase", "votes", "words", "island", "piece").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("n"), F.min("lo").alias("first"), (F.max("hi") + self.gram).alias("end"))
+        sound = merged.withColumn("score", F.col("n") / F.col("votes")).where(F.col("score") >= self.share)
         return exact.unionByName(sound.select(*by_row, "label", "phrase", "first", "end", "score"))
 
     def digests(self, docs: DataFrame) -> DataFrame:
@@ -114,4 +121,5 @@ class LicenseScan:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their phrases and labels; those without words have none."""
     return LicenseScan().digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
