@@ -49,6 +49,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._expr import unused
 from ._store import Scratch
 
 K, PERCENT = 5, 80
@@ -231,7 +232,7 @@ class NgramJaccard:
 
     def _sets(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
         """(cid, items) of wanted classes (doc_id, cid)."""
-        ids = wanted.select(F.col("doc_id").alias("_id"), F.col("cid").alias("_cid"))
+        ids = wanted.select(F.col("doc_id").alias("_id"), F.col("cid").alias("_cid"))  # docs gives its id and text only
         if ids.count() <= self.broadcast_rows:  # else the texts are shuffled
             ids = F.broadcast(ids)
 
@@ -367,6 +368,7 @@ class NgramJaccard:
         may = self._may("x <> comp AND a < cid") & F.expr(f"{100 + percent}L * ({differ}) <= {100 - percent}L * (m + n)")
         labels = self._checked(docs, scratch, classes, labels, a.join(rest, ["level", "h"]).where(may).select("a", F.col("cid").alias("b")))
 
+        scratch.only("rows", "classes", "labels")
         named = classes.join(labels, "cid", "left").select("cid", "doc_id", F.coalesce("comp", "cid").alias("comp"))
         least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
         final = named.join(least, "comp").select("cid", "component_id")
@@ -402,18 +404,20 @@ class NgramJaccard:
         Rows without an id stay unless they are in a component with one.
         """
         found = Scratch(docs.sparkSession, "jaccard-kept").keep(self.components(docs), "components")
-        kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-        right = kept.withColumnRenamed("doc_id", "_id")
-        out = docs.join(right, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+        (number,) = unused(docs.columns, "number")
+        kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("doc_id").alias("id")).alias("kept")).distinct()
+        own = F.struct(docs["doc_id"].alias("id"))
+        out = docs.join(kept, own.eqNullSafe(kept["kept"]), "left_semi")
+        repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.struct(F.col("doc_id").alias("id")).alias("repeated"))
         if repeated.isEmpty():
             return out
         order = Window.partitionBy("doc_id").orderBy(*[F.xxhash64(c) for c in docs.columns])
-        twice = out.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-        return out.join(repeated.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(twice)
+        twice = out.join(repeated, own.eqNullSafe(repeated["repeated"]), "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1).drop(number)
+        return out.join(repeated, own.eqNullSafe(repeated["repeated"]), "left_anti").unionByName(twice)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the components of their links; those without words have their own."""
     return NgramJaccard().components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

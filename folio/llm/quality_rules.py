@@ -7,8 +7,9 @@ documents; a document's posterior probability of being good then decides.
 Patterns number 3 ** rules at most, however many documents there are.
 
 Defined results: a null or empty text has no words and fails the base rules.
-Rows are independent; repeats vote like others. Columns other than ``doc_id``
-and ``text`` pass through or aren't read.
+Rows are independent; repeats vote like others. A very long text is counted as a
+whole, in one row. Columns other than ``doc_id`` and ``text`` pass through or
+aren't read, so they may have any names.
 """
 
 from __future__ import annotations
@@ -146,7 +147,7 @@ class QualityRules:
         """doc_id and text_key of each row, its counts, votes, base_failed, quality (posterior) and kept."""
         scratch = Scratch(docs.sparkSession, "quality")
         names = list(rules())
-        counted = features(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"])
+        counted = features(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), ["doc_id", "text_key"])
         voted = scratch.keep(counted.withColumns({"base_failed": base_failed(), "votes": F.array(*[v.cast("int") for v in rules().values()])}), "votes")
         model = self.supervision.model(voted, len(names)).first()  # one row
         rates = [F.array(*map(F.lit, x)) for x in (model.good, model.bad)]
@@ -155,10 +156,11 @@ class QualityRules:
 
     def keep(self, docs: DataFrame) -> DataFrame:
         """The documents that are kept."""
-        gone = self.judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-        return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+        gone = self.judge(docs).where(~F.col("kept")).select(F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).alias("gone")).distinct()
+        return docs.join(gone, F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("key")).eqNullSafe(gone["gone"]), "left_anti")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their counts and verdicts; those without words fail."""
     judged = QualityRules().judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

@@ -13,7 +13,9 @@ are counted first, then all windows whose anchor occurs in several documents.
 Defined results: a null or empty text has no words. A null ``doc_id`` is neither
 smaller nor larger than any other: such rows are returned unchanged and are no
 source. Rows that repeat a ``doc_id`` are judged each by its own text and don't
-remove one another's words. Other columns pass through untouched.
+remove one another's words. A very long text is hashed as a whole. Other columns
+pass through untouched, whatever their names. Windows are told apart by two
+polynomials modulo 2**31 - 1 over 64-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
+from ._expr import unused
 from ._store import Scratch
 
 WINDOW = 50
@@ -116,14 +119,18 @@ class SubstringDedup:
         scratch.drop("wanted")
         window = F.explode(F.arrays_zip("pos", "hash")).alias("w")
         every = found.select("doc_id", "text_key", window).select("doc_id", "text_key", "w.pos", "w.hash")
-        least = every.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo")
+        # a table of its own, so that a window that very many documents have can be split in the join
+        least = scratch.keep(every.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "lo"), "least")
         out = scratch.keep(every.join(least, "hash").where("lo < doc_id").groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("starts")), "removals")
-        scratch.drop("windows")
+        scratch.drop("windows", "least")
         return out
 
-    def _with(self, docs: DataFrame, removals: DataFrame) -> DataFrame:
-        right = removals.withColumnsRenamed({"doc_id": "_id", "text_key": "_key", "starts": "_starts"})
-        return docs.join(right, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left").drop("_id", "_key")
+    def _with(self, docs: DataFrame, removals: DataFrame) -> tuple[DataFrame, str]:
+        """The rows with the word positions to remove, and the name of their column."""
+        name, hit = unused(docs.columns, "starts", "hit")
+        right = removals.select(F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).alias(hit), F.col("starts").alias(name))
+        own = F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("key"))
+        return docs.join(right, own == right[hit], "left").drop(hit), name
 
     def digests(self, docs: DataFrame) -> DataFrame:
         """doc_id, n_words, n_removed, kept_sha256 of each row."""
@@ -137,7 +144,7 @@ class SubstringDedup:
                     for i in range(len(chunk)):
                         a, b = int(chunk.at[i]), int(chunk.at[i + 1])
                         keep = np.ones(b - a, dtype=bool)
-                        starts = batch["_starts"][row + i]
+                        starts = batch[column][row + i]
                         if starts.is_valid:
                             for lo, hi in zip(*spans(starts.values.to_numpy(zero_copy_only=False), window)):
                                 keep[lo:hi] = False
@@ -149,8 +156,8 @@ class SubstringDedup:
                     row += len(chunk)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-        rows = docs.select("doc_id", "text")
-        return self._with(rows, self.removals(docs, scratch)).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+        joined, column = self._with(docs.select("doc_id", "text"), self.removals(docs, scratch))
+        return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """The documents without the words to remove.
@@ -160,14 +167,14 @@ class SubstringDedup:
         """
         scratch, window = Scratch(docs.sparkSession, "substring"), self.window
         names = docs.columns
-        joined = self._with(docs, self.removals(docs, scratch))
+        joined, column = self._with(docs, self.removals(docs, scratch))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out, row = [], 0
                 for chunk in W.chunks(batch["text"], W.SPACED, False):
                     for i in range(len(chunk)):
-                        starts, first, end = batch["_starts"][row + i], int(chunk.first[i]), int(chunk.first[i + 1]) - 1
+                        starts, first, end = batch[column][row + i], int(chunk.first[i]), int(chunk.first[i + 1]) - 1
                         if not starts.is_valid:
                             out.append(batch["text"][row + i].as_py())
                             continue
@@ -189,6 +196,7 @@ class SubstringDedup:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of windows that a smaller id has too."""
     return SubstringDedup().digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -296,4 +296,5 @@ class UrlFilter:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with their verdicts; a url without host is judged by the model."""
     return UrlFilter().judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("url")
