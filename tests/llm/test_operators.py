@@ -332,11 +332,9 @@ def test_token_counts(docs, rows, empty):
         unigram = Tokenizer(models.Unigram([("<unk>", 0.0), *scored], 0, False))
         unigram.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(__import__("tokenizers").Regex(r"[\x20\x09-\x0D]+"), "removed"), pre_tokenizers.Metaspace(prepend_scheme="always")])
         known = {p for p, _ in scored}
-        got = {r.doc_id: r.n_tokens for r in TokenCounts(scored).counts(docs).collect()}
-        for doc, text in rows:
-            tokens = unigram.encode(text or "", add_special_tokens=False).tokens
-            want = sum(1 if t in known else len(t.encode()) for t in tokens)
-            assert got[doc] == want, (doc, text, tokens)
+        got = ordered((r.doc_id, r.n_tokens) for r in TokenCounts(scored).counts(docs).collect())  # repeated rows too
+        tokens = [(doc, unigram.encode(text or "", add_special_tokens=False).tokens) for doc, text in rows]
+        assert got == ordered((doc, sum(1 if t in known else len(t.encode()) for t in found)) for doc, found in tokens)
     assert low and TokenCounts().counts(empty).count() == 0
 
 
@@ -368,3 +366,62 @@ def test_the_registered_count_takes_white_space(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n_tokens for r in QUERIES["op6_token_counts"](spark, str(tmp_path)).collect()}
     assert got == {i: len(model.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_a_window_that_all_documents_have(spark):
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}", f"b{i}"] * (i % 5) + passage + [f"c{i}"] * (i % 3) + passage[: 50 + i % 7])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert as_rows(SubstringDedup().digests(docs)) == ordered(removed(rows))
+
+
+def test_a_window_that_all_items_and_documents_have(spark):
+    common = " ".join(f"q{i}" for i in range(12))
+    listed = [(i, f"{common} own{i} words{i}") for i in range(150)] + [(150 + i, common) for i in range(3)]
+    rows = [(i, f"x{i} y{i} {common}" + f" own{i} words{i}" * (i % 2)) for i in range(60)] + [(90, "nothing of it"), (91, common[:20])]
+    table = spark.createDataFrame(listed, "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert as_rows(Decontaminator().digests(docs, table)) == ordered(hits(rows, listed))
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    """300,000 words, with a passage of an item at the end."""
+    words = [f"w{i * i % 7919}" for i in range(300_000)]
+    item = [f"m{i}" for i in range(25)]
+    docs = spark.createDataFrame([(1, " ".join(words + item[3:20]))], "doc_id long, text string")
+    table = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    (row,) = Decontaminator().digests(docs, table).collect()
+    assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (300_017, 17, 1, True)
+
+
+def test_license_spans_of_changed_and_repeated_texts(spark):
+    """A template with words changed, put in and left out is found; half of one isn't; two side by side are two."""
+    from folio.llm.license_scan import TEMPLATES
+
+    words = TEMPLATES[0][1].split()
+    changed = words[:10] + ["another"] + words[10:25] + words[26:]
+    texts = [" ".join(words), "x y " + " ".join(changed) + " z", " ".join(words[: len(words) // 3]), " ".join([*words, *words]), "no license at all"]
+    found = LicenseScan().spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("label = 'mit' AND NOT phrase").collect()
+    by_doc = Counter(r.doc_id for r in found)
+    assert by_doc[0] == by_doc[1] == 1 and by_doc[3] == 2 and not by_doc[2] and not by_doc[4]
+    n = len(ALNUM.findall(lower(texts[0])))
+    assert {(r.first, r.end) for r in found if r.doc_id == 0} == {(0, n)} and sorted((r.first, r.end) for r in found if r.doc_id == 3) == [(0, n), (n, 2 * n)]
+
+
+def test_blocks_of_any_size_give_the_same_scores(docs):
+    whole = as_rows(LmScore().scores(docs))
+    small = as_rows(LmScore(block_bytes=900, range_bytes=500).scores(docs.repartition(7)))
+    assert len(whole) == len(small) and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:]) for a, b in zip(whole, small))
+
+
+def test_no_tables_are_left(spark, docs):
+    """All that operators write is under the checkpoint folder and goes with close_all."""
+    import os
+
+    from folio.llm import _store
+
+    as_rows(Sharding(3).assign(docs))
+    at = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert any(x.startswith("folio-") and os.listdir(f"{at}/{x}") for x in os.listdir(at) if x.startswith("folio-"))
+    _store.close_all()
+    assert not any(x.startswith("folio-") for x in os.listdir(at))

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folio.llm import url_filter as U
@@ -65,3 +68,48 @@ def test_judged_by_suffixes_outside_the_sample(spark):
     pages = [(i, f"http://h{i % 200:03}.com/{'r' if i < 2000 else 'q'}/{i:04}") for i in range(2400)]
     got = U.UrlFilter(rules, sample=60).judge(spark.createDataFrame(pages, "page_id long, url string")).where(F.col("rule").isNull()).collect()
     assert len(got) == 400 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+
+
+def labelled(n=3000, seed=2):
+    """Urls of many suffixes, each with both kinds; only lexical features tell them apart."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        bad = bool(rng.random() < 0.4)
+        kind = i % 3 if bad else None  # each bad url is so in one way, and no longer than good ones
+        name = "".join(rng.choice(list("abcdefgh"), 6)) + "".join(rng.choice(list("0123456789" if kind == 0 else "abcdefgh"), 7))
+        length = int(rng.integers(8, 30))
+        path = "/".join("ab" for _ in range(length // 3)) if kind == 1 else "".join(rng.choice(list("abcdefgh"), length))
+        out.append((f"http://{name}.s{i % 12}.org/p{i % 5}/{path}" + "?a=1&b=2" * (kind == 2) + "?q=abcd" * (kind != 2), bad))
+    return out
+
+
+def test_unknown_suffixes_are_judged_by_lexical_features():
+    rows = labelled()
+    known, new = ([(u, b) for u, b in rows if (f".s{7}.org" in u) == held] for held in (False, True))
+    model = U.train([u for u, _ in known], [b for _, b in known])
+    score = model.score(model.features([u for u, _ in new]))
+    assert ((score > 0.5) == np.array([b for _, b in new])).mean() > 0.9
+    splits = {U.FEATURES[f] for features, thresholds, _ in model.trees for f, t in zip(features, thresholds) if np.isfinite(t)}
+    assert len(splits & {"length", "host_length", "depth", "digit_ratio", "entropy", "host_entropy", "parameters", "path_length", "host_digits", "hyphens"}) >= 3
+
+
+def test_given_labels_train_the_filter(spark):
+    rows = labelled()
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows[2000:])], "page_id long, url string")
+    given = spark.createDataFrame(rows[:2000], "url string, blocked boolean")
+    got = {r.page_id: r.verdict for r in U.UrlFilter(rules=()).judge(pages, labelled=given).collect()}
+    assert np.mean([(got[i] == "block") == b for i, (_, b) in enumerate(rows[2000:])]) > 0.9
+
+
+def test_very_long_urls(spark):
+    long = "http://EXAMPLE.org/" + "é/a-1" * 100_000 + "?q=1&r=2#f"
+    pages = spark.createDataFrame([(1, long), (2, long), (3, "http://a.net/es/1"), (4, "http://a.com/1")], "page_id long, url string")
+    got = {r.page_id: r for r in U.UrlFilter().judge(pages).collect()}
+    assert got[1].host == "example.org" and got[1].rule is None and got[1].score == got[2].score
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="needs the driver's tables")
+def test_pages_get_both_verdicts(spark):
+    judged = U.UrlFilter().judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    assert {r.verdict for r in judged.where("rule IS NULL").collect()} == {"allow", "block"}
