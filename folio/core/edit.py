@@ -138,8 +138,8 @@ def redact(data: bytes, zones: list[Zone], color: tuple | None = (0.0, 0.0, 0.0)
         own = [z[1:] for z in zones if z[0] == i]
         if not own:
             continue
-        gone = set()
-        for what, op, f in Interpreter(d.doc, page).items():
+        gone, read = set(), Interpreter(d.doc, page)
+        for what, op, f in read.items():
             box = f.get("bbox") or (f["x"], f["y"], f["x"] + f["width"], f["y"] + f["font_size"])
             if any(_overlaps(box, z) for z in own):
                 gone.add(op)
@@ -149,9 +149,15 @@ def redact(data: bytes, zones: list[Zone], color: tuple | None = (0.0, 0.0, 0.0)
                 ops.append((op, args))
             elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s"):
                 ops.append(("n", []))
-            elif op in ("'", '"'):  # the move to the next line stays
-                ops += [("Tw", [args[0]]), ("Tc", [args[1]])] * (op == '"') + [("T*", [])]
-        body = [("q", []), *[o for o in ops if o[0] != "BI"], ("Q", [])]
+            elif op in ("Tj", "TJ", "'", '"'):
+                if op == '"':
+                    ops += [("Tw", [args[0]]), ("Tc", [args[1]])]
+                if op != "Tj" and op != "TJ":  # the move to the next line stays
+                    ops.append(("T*", []))
+                by, unit = read.moves.get(n, (0.0, 0.0))
+                if by and unit:  # what follows on the line stays where it is
+                    ops.append(("TJ", [[round(-by / unit * 1000, 6)]]))
+        body = [("q", []), *ops, ("Q", [])]
         if color:
             body += [("q", []), ("rg", list(color))] + [("re", [z[0], z[1], z[2] - z[0], z[3] - z[1]]) for z in own] + [("f", []), ("Q", [])]
         new = d.objects[num] | {"Contents": d.add(writer.flate(writer.content(body)))}

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
+from . import encoding
 from .objects import Document, Name, PdfError, Stream, operations
 
 Matrix = tuple[float, float, float, float, float, float]
@@ -93,6 +94,7 @@ class Font:
                         self.widths.setdefault(c, float(row[2]))
                     row = []
         else:
+            self.names = encoding.of_font(get(d.get("Encoding")), get, symbolic=bool(int(get((get(d.get("FontDescriptor")) or {}).get("Flags")) or 0) & 4))
             first = int(get(d.get("FirstChar")) or 0)
             self.widths = {first + i: float(get(x)) for i, x in enumerate(get(d.get("Widths")) or [])}
 
@@ -101,20 +103,21 @@ class Font:
 
     def text(self, codes: list[int]) -> str:
         if self.cmap:
-            return "".join(self.cmap.map.get(c, "" if self.composite else chr(c)) for c in codes)
-        return "".join(map(chr, codes))
+            return "".join(self.cmap.map.get(c, "" if self.composite else self.names[c] if self.names else chr(c)) for c in codes)
+        return "".join(map(chr, codes)) if self.composite or self.names is None else "".join(self.names[c] for c in codes)
 
     def width(self, code: int) -> float:
         return self.widths.get(code, self.default)
 
 
 class _State:
-    __slots__ = ("ctm", "font", "size", "tc", "tw", "tz", "tl", "rise", "mode", "fill", "stroke", "width", "fill_alpha", "stroke_alpha", "blend")
+    __slots__ = ("ctm", "font", "size", "tc", "tw", "tz", "tl", "rise", "mode", "fill", "stroke", "width", "fill_alpha", "stroke_alpha", "blend", "clip")
 
     def __init__(self):
         self.ctm = IDENTITY
         self.font, self.size, self.tc, self.tw, self.tz, self.tl, self.rise, self.mode = None, 0.0, 0.0, 0.0, 100.0, 0.0, 0.0, 0
         self.fill, self.stroke, self.width, self.fill_alpha, self.stroke_alpha, self.blend = (0.0,), (0.0,), 1.0, 1.0, 1.0, "Normal"
+        self.clip: tuple | None = None  # the box that clipping paths leave
 
     def copy(self) -> _State:
         out = _State()
@@ -123,6 +126,18 @@ class _State:
         return out
 
 
+# Initial colours of the device colour spaces.
+INITIAL_COLORS = {"DeviceGray": (0.0,), "DeviceRGB": (0.0, 0.0, 0.0), "DeviceCMYK": (0.0, 0.0, 0.0, 1.0)}
+
+
+def _within(a: tuple | None, b: tuple) -> tuple:
+    """The common part of two boxes, empty at b's corner if there is none."""
+    if a is None:
+        return b
+    x1, y1, x2, y2 = max(a[0], b[0]), max(a[1], b[1]), min(a[2], b[2]), min(a[3], b[3])
+    return (x1, y1, max(x1, x2), max(y1, y2))
+
+
 def rgb(c: tuple) -> tuple[float, float, float]:
     if len(c) == 1:
         return (c[0],) * 3
@@ -139,6 +154,8 @@ class Interpreter:
         self.doc, self.page = doc, page
         self.fonts: dict[tuple[int, str], Font | None] = {}
         self.errors = 0
+        #: By operation of the page itself: how far it moves the text position, and the move of one unit of font size.
+        self.moves: dict[int, tuple[float, float]] = {}
 
     def items(self) -> Iterator[tuple[str, int, dict]]:
         resources = self.doc.resolve(self.page.get("Resources")) or {}
@@ -160,6 +177,11 @@ class Interpreter:
         tm = tlm = IDENTITY
         path: list[tuple[str, float, float]] = []
         rects: list[tuple] = []
+        clipping = False
+
+        def moved(index: int, by: float) -> None:
+            if not forms:
+                self.moves[index] = (self.moves.get(index, (0.0, 0.0))[0] + by, s.size * s.tz / 100)
 
         def show(raw: bytes, index: int):
             nonlocal tm
@@ -176,6 +198,7 @@ class Interpreter:
                 advances.append(step)
             total = sum(advances)
             tm = concat((1, 0, 0, 1, total, 0), tm)
+            moved(index, total)
             if text:
                 scale = (full[2] ** 2 + full[3] ** 2) ** 0.5
                 yield "text", index, {"text": text, "x": x, "y": y, "width": sum(widths), "font_size": s.size, "font_size_px": s.size * scale, "font_name": font.key if font else "", "base_font": font.base if font else "", "char_advances": widths, "char_cids": codes, "m2x2": list(full[:4]), "stroke_text": s.mode in (1, 2, 5, 6), "mode": s.mode, "color": rgb(s.fill), "raw": raw}
@@ -212,7 +235,9 @@ class Interpreter:
                         if isinstance(x, bytes):
                             yield from show(x, index)
                         else:
-                            tm = concat((1, 0, 0, 1, -float(x) / 1000 * s.size * s.tz / 100, 0), tm)
+                            by = -float(x) / 1000 * s.size * s.tz / 100
+                            tm = concat((1, 0, 0, 1, by, 0), tm)
+                            moved(index, by)
                 elif op in ("Tc", "Tw", "Tz", "TL", "Ts"):
                     setattr(s, {"Tc": "tc", "Tw": "tw", "Tz": "tz", "TL": "tl", "Ts": "rise"}[op], float(a[0]))
                 elif op == "Tr":
@@ -221,6 +246,13 @@ class Interpreter:
                     s.fill = tuple(float(x) for x in a if not isinstance(x, Name))
                 elif op in ("G", "RG", "K", "SC", "SCN"):
                     s.stroke = tuple(float(x) for x in a if not isinstance(x, Name))
+                elif op in ("cs", "CS"):
+                    setattr(s, "fill" if op == "cs" else "stroke", INITIAL_COLORS.get(str(a[0]), (0.0,)))
+                elif op in ("W", "W*"):
+                    clipping = True
+                elif op == "sh":
+                    box = s.clip or tuple(float(self.doc.resolve(v)) for v in self.doc.resolve(self.page.get("MediaBox")) or (0, 0, 612, 792))
+                    yield "shading", index, {"bbox": box, "name": str(a[0]), "alpha": s.fill_alpha}
                 elif op == "w":
                     s.width = float(a[0])
                 elif op == "gs":
@@ -239,10 +271,15 @@ class Interpreter:
                 elif op in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s"):
                     if path:
                         xs, ys = [p[1] for p in path], [p[2] for p in path]
+                        if clipping:
+                            s.clip, clipping = _within(s.clip, (min(xs), min(ys), max(xs), max(ys))), False
                         yield "stroke" if op in ("S", "s") else "fill", index, {"bbox": (min(xs), min(ys), max(xs), max(ys)), "color": rgb(s.stroke if op in ("S", "s") else s.fill), "alpha": s.stroke_alpha if op in ("S", "s") else s.fill_alpha, "points": path, "line_width": s.width}
                     path, rects = [], []
                 elif op == "n":
-                    path, rects = [], []
+                    if path and clipping:
+                        xs, ys = [p[1] for p in path], [p[2] for p in path]
+                        s.clip = _within(s.clip, (min(xs), min(ys), max(xs), max(ys)))
+                    path, rects, clipping = [], [], False
                 elif op == "Do":
                     x = self._resource(resources, "XObject", a[0])
                     if isinstance(x, Stream):
@@ -270,6 +307,11 @@ class Interpreter:
             matrix = self.doc.resolve(d.get("Matrix"))
             if matrix:
                 inner.ctm = concat(tuple(float(self.doc.resolve(v)) for v in matrix), inner.ctm)
+            box = self.doc.resolve(d.get("BBox"))
+            if box:
+                x1, y1, x2, y2 = (float(self.doc.resolve(v)) for v in box)
+                corners = [apply(inner.ctm, *p) for p in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))]
+                inner.clip = _within(inner.clip, (min(p[0] for p in corners), min(p[1] for p in corners), max(p[0] for p in corners), max(p[1] for p in corners)))
             own = self.doc.resolve(d.get("Resources")) or resources
             for kind, _, fields in self._run(self.doc.decode(x), own, inner, [*forms, x]):
                 yield kind, index, fields

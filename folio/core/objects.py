@@ -196,15 +196,53 @@ def operations(content: bytes) -> Iterator[tuple[str, list]]:
                 if isinstance(k, Name):
                     d[INLINE_KEYS.get(k, k)] = lex.value()
             start = lex.pos + 1
-            m = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|\Z)").search(content, max(start - 1, 0))
-            end = m.start() if m else len(content)
+            end, after = inline_end(content, start, d)
             yield "BI", [d, content[start:end]]
-            lex.pos = m.end() if m else len(content)
+            lex.pos = after
         else:
             yield str(x), operands
         operands = []
 
 
+_EI = re.compile(rb"[\x00\t\n\x0c\r ]*EI(?=[\x00\t\n\x0c\r ]|\Z)")
+_BLANK_EI = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|\Z)")
+# Components of the device colour spaces, long and short names.
+COMPONENTS = {"DeviceGray": 1, "G": 1, "DeviceRGB": 3, "RGB": 3, "DeviceCMYK": 4, "CMYK": 4, "Indexed": 1, "I": 1}
+
+
+def inline_end(content: bytes, start: int, d: dict) -> tuple[int, int]:
+    """End of an inline image's data, and of its EI.
+
+    The length is taken from /L, or for unfiltered samples from the size, or a
+    JPEG's end mark, if an EI follows there. Else the first EI between blanks counts
+    after which only text follows for some bytes, or the first one at all.
+    """
+    known = []
+    length = d.get("Length", d.get("L"))
+    if isinstance(length, int):
+        known.append(start + length)
+    name = d.get("Filter")
+    name = name[0] if isinstance(name, list) and name else name
+    if name in (None, []):
+        space = d.get("ColorSpace")
+        space = space[0] if isinstance(space, list) and space else space
+        bits = 1 if d.get("ImageMask") else int(d.get("BitsPerComponent") or 8)
+        parts = 1 if d.get("ImageMask") else COMPONENTS.get(str(space))
+        if parts and isinstance(d.get("Width"), int) and isinstance(d.get("Height"), int):
+            known.append(start + (d["Width"] * parts * bits + 7) // 8 * d["Height"])
+    elif name in ("DCTDecode", "DCT") and (mark := content.find(b"\xff\xd9", start)) >= 0:
+        known.append(mark + 2)
+    for end in known:
+        if start <= end <= len(content) and (m := _EI.match(content, end)):
+            return end, m.end()
+    first = None
+    for m in _BLANK_EI.finditer(content, max(start - 1, 0)):
+        first = first or m
+        if all(c in b"\t\n\x0c\r" or 32 <= c < 127 for c in content[m.end() : m.end() + 12]):
+            return m.start(), m.end()
+    return (first.start(), first.end()) if first else (len(content), len(content))
+
+
 # Abbreviated keys of inline images.
 INLINE_KEYS = {"BPC": "BitsPerComponent", "CS": "ColorSpace", "D": "Decode", "DP": "DecodeParms", "F": "Filter", "H": "Height", "IM": "ImageMask", "I": "Interpolate", "W": "Width"}
 

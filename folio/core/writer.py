@@ -61,7 +61,14 @@ def flate(data: bytes, d: dict | None = None) -> Stream:
 
 
 def content(ops: list[tuple[str, list]]) -> bytes:
-    return b"".join(b"".join(serialize(a) + b" " for a in args) + op.encode() + b"\n" for op, args in ops)
+    """Operations as content; an inline image is (BI, [dict, data])."""
+
+    def one(op: str, args: list) -> bytes:
+        if op == "BI":
+            return b"BI " + b"".join(serialize(Name(k)) + b" " + serialize(v) + b" " for k, v in args[0].items()) + b"ID " + args[1] + b"\nEI\n"
+        return b"".join(serialize(a) + b" " for a in args) + op.encode() + b"\n"
+
+    return b"".join(one(op, args) for op, args in ops)
 
 
 class Encryption:

@@ -64,9 +64,10 @@ def object_lengths(xref: DataFrame, keys: list[str], offset: str = "offset", mos
 
 def missing_ranges(needed: DataFrame, cached: DataFrame, keys: list[str]) -> DataFrame:
     """Needed (keys, first, end) that no cached interval contains."""
-    have = merge_intervals(cached, keys, "first", "end").withColumnsRenamed({"first": "_a", "end": "_b"})
-    marked = needed.join(have, keys, "left").withColumn("_in", F.coalesce((F.col("_a") <= F.col("first")) & (F.col("_b") >= F.col("end")), F.lit(False)))
-    return marked.groupBy(*keys, "first", "end").agg(F.max("_in").alias("_in")).where("NOT _in").drop("_in")
+    # merged intervals are disjoint, so only the last one that begins no later can hold a range
+    have = merge_intervals(cached, keys, "first", "end").select(*keys, F.col("first").alias("_a"), F.col("end").alias("_b"))
+    marked = governing(needed, have, keys, "first", "_a", ["_b"])
+    return marked.where(F.col("_b").isNull() | (F.col("_b") < F.col("end"))).select(*keys, "first", "end").distinct()
 
 
 def governing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, columns: list[str]) -> DataFrame:

@@ -5,63 +5,64 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.sources.pdf import flat_map
-
 PAGE = ["doc_id", "page_index"]
 
 
 def _haystacks(words: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a page: its words in order with their first character, and the text, each word followed by a blank."""
-    ordered = F.array_sort(F.collect_list(F.struct("line_idx", "word_idx", "text", "x", "y", "width", "font_size")))
-    pages = words.groupBy(*keys).agg(ordered.alias("w"))
-    starts = F.aggregate("w", F.array(F.lit(0)), lambda a, w: F.concat(a, F.array(F.element_at(a, -1) + F.length(w.text) + 1)))
-    return pages.select(*keys, "w", starts.alias("starts"), F.concat_ws("", F.transform("w", lambda w: F.concat(w.text, F.lit(" ")))).alias("text"))
+    """One row a page: its words in order, each with its first character a, and the text, each word followed by a blank."""
+    n = F.length("text") + 1
+    in_order = Window.partitionBy(*keys).orderBy("line_idx", "word_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = words.withColumn("_a", (F.sum(n).over(in_order) - n).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.struct("line_idx", "word_idx", F.col("_a").alias("a"), "text", "x", "y", "width", "font_size")))
+    pages = placed.groupBy(*keys).agg(ordered.alias("w"))
+    return pages.select(*keys, "w", F.concat_ws("", F.transform("w", lambda w: F.concat(w.text, F.lit(" ")))).alias("text"))
 
 
 def _boxes(found: DataFrame, keys: list[str], whole: bool) -> DataFrame:
-    """Hits (keys, hit_idx, text, x1, y1, x2, y2) of matches [m_start, m_end): the union of touched words.
+    """Hits (keys, hit_idx, text, x1, y1, x2, y2) of a page's matches m (s, e), in order: the union of touched words.
 
     Words are cut in proportion to characters unless ``whole``; the text is that
-    of the touched words, without blanks.
+    of the touched words, without blanks. Words stay in the page's row.
     """
-    touched = F.filter(
-        F.transform("w", lambda w, i: F.struct(w.alias("w"), F.element_at("starts", i + 1).alias("a"), (F.element_at("starts", i + 1) + F.length(w.text)).alias("b"))),
-        lambda t: (t.b > F.col("m_start")) & (t.a < F.col("m_end")),
-    )
-    per_char = lambda t: t.w.width / F.greatest(F.length(t.w.text), F.lit(1))
-    left = (lambda t: t.w.x) if whole else (lambda t: t.w.x + per_char(t) * F.greatest(F.col("m_start") - t.a, F.lit(0)))
-    right = (lambda t: t.w.x + t.w.width) if whole else (lambda t: t.w.x + per_char(t) * (F.least(F.col("m_end"), t.b) - t.a))
-    rows = found.withColumn("t", touched).where(F.size("t") > 0)
-    order = Window.partitionBy(*keys).orderBy("m_start", "m_end")
-    return rows.select(
-        *keys,
-        (F.row_number().over(order) - 1).alias("hit_idx"),
-        F.array_join(F.transform("t", lambda t: t.w.text), "").alias("text"),
-        F.array_min(F.transform("t", left)).alias("x1"),
-        F.array_min(F.transform("t", lambda t: t.w.y)).alias("y1"),
-        F.array_max(F.transform("t", right)).alias("x2"),
-        F.array_max(F.transform("t", lambda t: t.w.y + t.w.font_size)).alias("y2"),
-    )
+    per_char = lambda w: w.width / F.greatest(F.length(w.text), F.lit(1))
+    end = lambda w: w.a + F.length(w.text)
+    left = (lambda m, w: w.x) if whole else (lambda m, w: w.x + per_char(w) * F.greatest(m.s - w.a, F.lit(0)))
+    right = (lambda m, w: w.x + w.width) if whole else (lambda m, w: w.x + per_char(w) * (F.least(m.e, end(w)) - w.a))
+
+    def box(m: Column) -> Column:
+        touched = F.filter("w", lambda w: (end(w) > m.s) & (w.a < m.e))
+        each = F.transform(touched, lambda w: F.struct(w.text.alias("text"), left(m, w).alias("x1"), w.y.alias("y1"), right(m, w).alias("x2"), (w.y + w.font_size).alias("y2")))
+        most = lambda t, c, f: f(F.transform(t, lambda x: x[c])).alias(c)
+        union = F.transform(F.array(each), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.transform(t, lambda x: x.text), "").alias("text"), most(t, "x1", F.array_min), most(t, "y1", F.array_min), most(t, "x2", F.array_max), most(t, "y2", F.array_max)))
+        return F.get(union, 0)
+
+    hits = F.filter(F.transform("m", box), lambda h: h.n > 0)
+    rows = found.select(*keys, F.posexplode(hits).alias("hit_idx", "h"))
+    return rows.select(*keys, "hit_idx", "h.text", "h.x1", "h.y1", "h.x2", "h.y2")
 
 
 def search(words: DataFrame, query: str, case_sensitive: bool = True, keys: list[str] | None = None) -> DataFrame:
-    """Hits of a literal; matches may overlap. An empty query has none."""
+    """Hits of a literal; matches may overlap. An empty query has none.
+
+    Without regard to case characters are compared one by one, so a letter whose
+    lower case is longer moves nothing.
+    """
     keys = keys or PAGE
     pages = _haystacks(words, keys)
     if not query:
-        return _boxes(pages.limit(0).withColumns({"m_start": F.lit(0), "m_end": F.lit(0)}), keys, False)
-    text = F.col("text") if case_sensitive else F.lower("text")
-    want = query if case_sensitive else query.lower()
+        return _boxes(pages.limit(0).withColumn("m", F.array().cast("array<struct<s:int,e:int>>")), keys, False)
+    want = ("" if case_sensitive else "(?iu)") + "(?={})".format("".join(f"\\x{{{ord(c):X}}}" for c in query))
     # a cut before every match, overlapping ones too; all pieces but the first begin with one
-    pieces = F.split(text, f"(?=\\Q{want}\\E)")
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    lengths = F.transform(F.split("text", want), lambda x: F.length(x))
+    places = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, n: F.struct((a.at + n).alias("at"), F.concat(a.all, F.array(a.at)).alias("all")), lambda a: a.all)
     # pages without the query aren't looked at further
-    cut = pages.where(text.contains(want)).select(*keys, "w", "starts", text.startswith(want).alias("_first"), F.explode(ends).alias("m_start"), F.length("text").alias("_n"))
-    found = cut.where((F.col("m_start") < F.col("_n")) & ((F.col("m_start") > 0) | F.col("_first"))).withColumn("m_end", F.col("m_start") + len(want))
-    return _boxes(found, keys, False)
+    cut = pages.where(F.col("text").rlike(want)).select(*keys, "w", F.col("text").rlike(f"\\A{want}").alias("_first"), places.alias("_at"))
+    starts = F.filter("_at", lambda s, i: (i > 0) | F.col("_first"))
+    return _boxes(cut.select(*keys, "w", F.transform(starts, lambda s: F.struct(s.alias("s"), (s + len(query)).alias("e"))).alias("m")), keys, False)
 
 
 _REJECTED = re.compile(r"\\[1-9]|\(\?(?:=|!|<=|<!|P=)")
@@ -70,21 +71,25 @@ _REJECTED = re.compile(r"\\[1-9]|\(\?(?:=|!|<=|<!|P=)")
 def search_regex(words: DataFrame, pattern: str, case_sensitive: bool = True, keys: list[str] | None = None) -> DataFrame:
     """Hits of a regular expression, not overlapping; boxes take whole words.
 
-    Look-around and back-references aren't in the dialect. Offsets need Python.
+    Look-around and back-references aren't in the dialect. Offsets need Python,
+    which gets each page once and adds a list of them.
     """
     keys = keys or PAGE
     if _REJECTED.search(pattern):
         raise ValueError("look-around and back-references aren't supported")
     compiled = re.compile(pattern, 0 if case_sensitive else re.IGNORECASE)
 
-    def each(_, text: str) -> Iterator[tuple]:
-        for m in compiled.finditer(text):
-            if m.end() > m.start():
-                yield m.start(), m.end()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        for batch in batches:
+            found = [[{"s": m.start(), "e": m.end()} for m in compiled.finditer(text or "") if m.end() > m.start()] for text in batch["text"].to_pylist()]
+            some = pa.array([bool(x) for x in found], pa.bool_())
+            names = [*keys, "w"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, kind)], [*names, "m"]).filter(some)
 
-    pages = _haystacks(words, keys).withColumn("_page", F.struct(*keys, "w", "starts"))
-    hits = flat_map(pages, ["_page", "text"], "m_start int, m_end int", each, rows=256)
-    return _boxes(hits.select(*[f"_page.{k}" for k in keys], "_page.w", "_page.starts", "m_start", "m_end"), keys, True)
+    pages = _haystacks(words, keys)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.drop("text").schema)
+    return _boxes(pages.mapInArrow(run, f"{schema}, m array<struct<s:int,e:int>>"), keys, True)
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str, first: str, end: str, cell: float) -> DataFrame:

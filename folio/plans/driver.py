@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import documents, kernels
+from folio.plans import details, documents, kernels
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +13,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return documents.QUERIES | kernels.QUERIES
+    return documents.QUERIES | kernels.QUERIES | details.QUERIES
 
 
 def oracle_sql() -> dict:
-    return documents.ORACLES | kernels.ORACLES
+    return documents.ORACLES | kernels.ORACLES | details.ORACLES

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from folio.core import crypto, edit, filters, interp, objects, writer
 from folio.core.extract import RELATIONS
-from folio.core.objects import Document, Lexer, Name, PdfError, Ref, Stream
+from folio.core.objects import Document, Lexer, Name, PdfError, Ref, Stream, operations
 
 
 def value(data, **options):
@@ -154,3 +154,43 @@ def test_forms_and_notes():
     assert [r[2] for r in RELATIONS["annotations"][0](Document(note))] == ["Widget", "Widget", "Square"]
     tree = list(RELATIONS["outline"][0](Document(edit.outline([("one", ["x", "y"]), ("two", [])]))))
     assert [(r[0], r[2], r[3]) for r in tree] == [([0], "one", 0), ([0, 0], "x", 0), ([0, 1], "y", 0), ([1], "two", 1)] or sorted(r[2] for r in tree) == ["one", "two", "x", "y"]
+
+
+def items(body, **more):
+    b = writer.Builder()
+    b.page(body, **more)
+    doc = Document(b.build())
+    return [(kind, f) for kind, _, f in interp.Interpreter(doc, doc.pages()[0][1]).items()]
+
+
+def test_redaction_leaves_what_is_outside():
+    b = writer.Builder()
+    b.page(b"q 5 0 0 5 400 400 cm BI /W 1 /H 1 /BPC 8 /CS /G ID x\nEI Q BT /F1 10 Tf 2 Tc 20 TL 72 700 Td (one) Tj [(two) -300 (three)] TJ (four) Tj T* (five) ' ET")
+    before = {f["text"]: f["x"] for _, f in [(k, f) for k, _, f in interp.Interpreter(Document(b.build()), Document(b.build()).pages()[0][1]).items()] if "text" in f}
+    doc = Document(edit.redact(b.build(), [(0, before["two"] + 1, 695, before["two"] + 9, 715)]))
+    after = [(k, f) for k, _, f in interp.Interpreter(doc, doc.pages()[0][1]).items()]
+    assert [k for k, _ in after].count("image") == 1
+    assert {f["text"]: round(f["x"], 4) for _, f in after if "text" in f} == {t: round(x, 4) for t, x in before.items() if t not in ("two", "three")}
+
+
+@pytest.mark.parametrize("head, data", [(b"/W 3 /H 2 /BPC 8 /CS /RGB", b" EI Q EI 1 2 EI Q"[:17] + b"z"), (b"/W 9 /H 1 /IM true", b"\xff\x00"), (b"/W 1 /H 1 /L 9", b"a EI Q EI"), (b"/W 1 /H 1 /F /Fl", b"ab EI \x00\x01\x02 z"), (b"/W 1 /H 1 /F /DCT", b"\xff\xd8 EI q \xff\xd9")])
+def test_inline_images_end_where_their_data_does(head, data):
+    ops = list(operations(b"BI " + head + b" ID " + data + b"\nEI\nBT (x) Tj ET"))
+    assert [op for op, _ in ops] == ["BI", "BT", "Tj", "ET"] and ops[0][1][1] == data
+
+
+def test_encodings_and_glyph_names():
+    from folio.core import encoding
+
+    assert [encoding.glyph(x) for x in ("eacute", "Scaron", "uni00E9", "u1F600", "f_i", "A.alt", "fi", "alpha", "Omega", "quoteright", "nosuchglyph", "germandbls", "ccedilla", "zcaron")] == ["é", "Š", "é", "😀", "fi", "A", "ﬁ", "α", "Ω", "’", None, "ß", "ç", "ž"]
+    assert encoding.base("WinAnsiEncoding")[0x80] == "€" and encoding.base("MacRomanEncoding")[0x8E] == "é" and encoding.base("StandardEncoding")[0xAE] == "ﬁ" and encoding.base(None)[0xE9] == "é"
+    names = encoding.of_font({"Differences": [65, Name("eacute"), Name("nosuch"), 200, Name("Euro")]}, lambda x: x)
+    assert names[65] == "é" and names[66] == "B" and names[200] == "€" and names[0x27] == "’"
+    fonts = {"F1": {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("X"), "Encoding": Name("MacRomanEncoding")}}
+    assert [f["text"] for _, f in items(b"BT /F1 10 Tf (\x8e) Tj ET", Resources={"Font": fonts})] == ["é"]
+
+
+def test_clips_and_shadings():
+    got = items(b"q 0 0 50 50 re W n 10 10 100 100 re W* n /S sh Q q 1 1 2 2 re W f /S sh Q /S sh")
+    assert [(k, f["bbox"]) for k, f in got] == [("shading", (10.0, 10.0, 50.0, 50.0)), ("fill", (1.0, 1.0, 3.0, 3.0)), ("shading", (1.0, 1.0, 3.0, 3.0)), ("shading", (0.0, 0.0, 612.0, 792.0))]
+    assert items(b"0 1 0 rg /DeviceCMYK cs 0 0 1 1 re f")[0][1]["color"] == (0.0, 0.0, 0.0)

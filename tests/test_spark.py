@@ -58,6 +58,31 @@ def test_search(files):
         search.search_regex(words, r"(?=x)")
 
 
+def test_search_of_any_characters(spark):
+    rows = [(1, "x a\\Eb \\Q(.*) y"), (2, "İİİabc ABC"), (3, "straße STRASSE"), (4, "aXaxa")]
+    words = words_of(text_files(spark.createDataFrame([(i, t.replace("İ", "Ì")) for i, t in rows], "doc_id long, text string")))
+    hits = lambda q, **k: sorted((r.doc_id, r.hit_idx) for r in search.search(words, q, **k).collect())
+    assert hits("a\\Eb") == [(1, 0)] and hits("\\Q(.*)") == [(1, 0)]
+    assert hits("ÌABC", case_sensitive=False) == [(2, 0)] and hits("abc", case_sensitive=False) == [(2, 0), (2, 1)]
+    assert hits("SSE", case_sensitive=False) == [(3, 0)] and hits("axa", case_sensitive=False) == [(4, 0), (4, 1)]
+    odd = words.withColumn("text", F.regexp_replace("text", "Ì", "İ"))
+    (r,) = search.search(odd, "ABC", case_sensitive=False).where("doc_id = 2 AND hit_idx = 0").collect()
+    assert (r.x1, r.x2) == (72.0 + 30, 72.0 + 60)
+
+
+def test_regex_hits_of_many_pages(files):
+    words = words_of(files)
+    assert search.search_regex(words, "a+").groupBy("doc_id").count().collect()[0]["count"] > 50
+    assert search.search_regex(words, "AA", case_sensitive=False).where("doc_id = 4").count() == 100
+    assert search.search_regex(words, "nowhere").count() == 0
+
+
+def test_missing_ranges(spark):
+    cached = spark.createDataFrame([(1, 0, 10), (1, 10, 30), (1, 50, 60), (2, 5, 6)], "k int, first long, end long")
+    needed = spark.createDataFrame([(1, 0, 30), (1, 0, 31), (1, 40, 41), (1, 50, 55), (1, 50, 55), (2, 5, 6), (2, 0, 1), (3, 1, 2)], "k int, first long, end long")
+    assert sorted(tuple(r) for r in graph.missing_ranges(needed, cached, ["k"]).collect()) == [(1, 0, 31), (1, 40, 41), (2, 0, 1), (3, 1, 2)]
+
+
 def test_errors_and_passwords(spark):
     key = writer.Encryption("rc4", b"u", b"o", -44, b"s")
     rows = [(1, writer.text_pdf("x", encryption=key), "u"), (2, writer.text_pdf("x", encryption=key), "bad"), (3, b"junk", ""), (4, None, "")]
