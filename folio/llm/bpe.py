@@ -13,7 +13,8 @@ tell whether a slice begins. Slices are merged pair by pair in rank order, with
 a bounded cache, and their byte offsets are kept.
 
 Defined results: null is the empty text, which has no ids. Other columns pass
-through untouched. Rows are independent, so repeats and ties need no rule.
+through untouched. Rows are independent, so repeats and ties need no rule. A very
+long text is encoded as a whole; a slice of any length merges in n log n steps.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _words as W
+from ._store import bounded_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -140,17 +142,19 @@ def slices(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class Bpe:
-    """Ranks of one vocabulary, with a cache of about ``cached`` slices."""
+    """Ranks of one vocabulary, with a cache of slices that takes about ``cached`` bytes."""
 
-    def __init__(self, ranks_file: bytes, cached: int = 300_000):
+    def __init__(self, ranks_file: bytes, cached: int = 40_000_000):
         lines = map(bytes.split, ranks_file.splitlines())
         self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.pieces = {b: a for a, b in ranks.items()}
         self.cached = cached
         # every pair of tokens that may merge, as left id * size + right id, with the rank of the two together
         self.size = size = max(self.pieces) + 1
-        pairs = sorted((ranks[x[:i]] * size + ranks[x[i:]], r) for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks)
-        self.pair_keys, self.pair_ranks = (np.array(x, dtype=np.int64) for x in zip(*pairs)) if pairs else (np.array([-1]), np.array([_NONE]))
+        pairs = (v for x, r in ranks.items() for i in range(1, len(x)) if x[:i] in ranks and x[i:] in ranks for v in (ranks[x[:i]] * size + ranks[x[i:]], r))
+        both = np.fromiter(pairs, dtype=np.int64).reshape(-1, 2)
+        both = both[np.argsort(both[:, 0])] if len(both) else np.array([[-1, _NONE]])
+        self.pair_keys, self.pair_ranks = both[:, 0].copy(), both[:, 1].copy()
         self.decimal = np.array([b"%d" % i for i in range(size)], dtype=object)
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self._forget()
@@ -161,6 +165,7 @@ class Bpe:
         self.ids = np.zeros(1 << 16, dtype=np.int64)
         self.ends = np.zeros(1, dtype=np.int64)
         self.said: list[bytes] = []
+        self.held = 0
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -248,7 +253,9 @@ class Bpe:
             self.ids[used : used + len(ids)] = ids
             decimal = self.decimal[ids].tolist()
             ends = np.cumsum(counts).tolist()
-            self.said += [b",".join(decimal[a:b]) for a, b in zip([0, *ends], ends)]
+            said = [b",".join(decimal[a:b]) for a, b in zip([0, *ends], ends)]
+            self.said += said
+            self.held += sum(map(len, new)) + sum(map(len, said)) + 8 * len(ids) + 250 * len(new)
             places.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
             self.ends = np.append(self.ends, used + np.array(ends))
         return np.array([places[x] for x in slices], dtype=np.int64)
@@ -256,7 +263,7 @@ class Bpe:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes, np.ndarray]]:
         """For each text its ids, the ids in decimal joined by commas, and the byte offsets of its slices."""
         raw, offsets, first = slices(texts)
-        if len(self.places) >= self.cached:
+        if self.held >= self.cached:
             self._forget()
         starts, ends = offsets[:-1], offsets[1:]
         _, one, which = np.unique(W.spans_hash(raw, starts, ends), return_index=True, return_inverse=True)
@@ -291,7 +298,7 @@ def _bpe(ranks_file: bytes) -> Bpe:
     return _loaded[key]
 
 
-def _some(column: pa.Array, size: int = 1 << 20) -> Iterator[list[str]]:
+def _some(column: pa.Array, size: int = 1 << 18) -> Iterator[list[str]]:
     part: list[str] = []
     total = 0
     for x in column:
@@ -314,6 +321,7 @@ class ByteBpe:
 
     def _map(self, docs: DataFrame, columns: list[str], added: str, each) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(self.ranks_file)  # of fixed size: a vocabulary
+        bounded_batches(docs.sparkSession)
         kinds = dict(docs.dtypes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,4 +352,5 @@ class ByteBpe:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded; null is the empty text."""
     return ByteBpe().digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -17,7 +17,7 @@ Without it white space only separates words; each is counted with the word-start
 sign before it. Distinct words of a batch are counted once and cached too.
 
 Defined results: a null or empty text has no tokens and score 0. Rows are
-independent. Only ``doc_id`` and ``text`` are read.
+independent, so repeats need no rule. A very long text is counted part by part. Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import _words as W
+from ._store import bounded_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 WORD_START = "▁"
@@ -50,9 +51,9 @@ def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Counts the tokens of words, with a cache of at most ``cached`` of them."""
+    """Counts the tokens of words, with a cache of at most ``cached`` of them, of 64 characters at most each."""
 
-    def __init__(self, pieces: list[tuple[str, float]], cached: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], cached: int = 200_000):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -145,6 +146,7 @@ class TokenCounts:
         """doc_id, n_words, n_tokens, score of each row."""
         shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(self.pieces))  # of fixed size: a vocabulary
         whole = self.whole
+        bounded_batches(docs.sparkSession)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counter = _counter(shared.value)
@@ -166,4 +168,5 @@ class TokenCounts:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their token counts; null has none."""
     return TokenCounts(whole=True).counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
