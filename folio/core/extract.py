@@ -280,7 +280,8 @@ STANDARD_FONTS = {f"{a}{b}" for a, bs in (("Helvetica", ("", "-Bold", "-Oblique"
 
 
 def facts(doc: Document) -> Iterator[tuple]:
-    """(fact, obj_num, value) rows that conformance rules are queries over."""
+    """(fact, obj_num, value) rows that conformance rules are queries over; every file has one at least."""
+    yield "file", None, None
     root = doc.root()
     for key in ("OutputIntents", "Metadata"):
         if key in root:

@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_roots: dict[str, SparkSession] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """This process's folder below the shared checkpoint folder; a private one only where all runs in one process."""
+    for at, owner in _roots.items():
+        if owner is spark:
+            return at
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='folio-checkpoint-')}"
+    at = f"{base.rstrip('/')}/folio-graph-{uuid.uuid4().hex}"
+    _roots[at] = spark
+    return at
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder of the session."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folio-checkpoint-"))
-    return df.checkpoint()
+@atexit.register
+def _clean() -> None:
+    for at, spark in _roots.items():
+        if spark._jvm is not None and not spark._jsc.sc().isStopped():
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: computed once, and safe if executors are lost."""
+    path = f"{_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, src: str = "src_obj", dst: str = "dst_obj") -> DataFrame:
     """(keys, dst): all that can be reached from ``roots`` (keys, dst), themselves included.
 
-    A loop over frontiers: each round joins only what is new and checkpoints it.
+    Edges are written once. A loop over frontiers: each round joins only what is
+    new and writes it.
     """
     keys = keys or ["doc_id"]
     seen = frontier = _cut(roots.select(*keys, dst).distinct())
-    step = edges.select(*keys, F.col(src), F.col(dst))
+    step = _cut(edges.select(*keys, F.col(src), F.col(dst)))
     while True:
         found = step.join(frontier.withColumnRenamed(dst, src), [*keys, src]).select(*keys, dst).distinct()
         frontier = _cut(found.join(seen, [*keys, dst], "left_anti"))
@@ -81,7 +109,6 @@ def governing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, st
 
 def inherited(nodes: DataFrame, keys: list[str], node: str, parent: str, value: str, depth: int = 100) -> DataFrame:
     """(keys, node, value): the nearest value at the node or above it; cycles end at ``depth``."""
-    spark: SparkSession = nodes.sparkSession
     tree = nodes.select(*keys, F.col(node).alias("_n"), F.col(parent).alias("_p"), F.col(value).alias("_v"))
     now = _cut(tree.select(*keys, F.col("_n").alias(node), "_p", "_v"))
     up = tree.withColumnsRenamed({"_n": "_u", "_p": "_pp", "_v": "_vv"})
@@ -93,5 +120,4 @@ def inherited(nodes: DataFrame, keys: list[str], node: str, parent: str, value:
         for c in cond[1:]:
             whole = whole & c
         now = _cut(now.join(up, whole, "left").select(*[now[k] for k in keys], now[node], F.when(now["_v"].isNull(), up["_pp"]).otherwise(now["_p"]).alias("_p"), F.coalesce(now["_v"], up["_vv"]).alias("_v")))
-    assert spark is not None
     return now.select(*keys, node, F.col("_v").alias(value))

@@ -16,7 +16,7 @@ RULES_2B = (
 RULES_1B = (*RULES_2B, ("6.4.1", "extgstate/transparent", False, "transparency is used"), ("6.1.3", "stream/external", False, "a stream has external data"))
 
 
-def violations(facts: DataFrame, docs: DataFrame, level: str = "1b") -> DataFrame:
+def violations(facts: DataFrame, level: str = "1b") -> DataFrame:
     """(doc_id, rule, description, obj_num) for level 1b, 2b or 3b, which has the rules of 2b.
 
     Standard fonts without a descriptor count as missing in none of the levels.
@@ -27,7 +27,8 @@ def violations(facts: DataFrame, docs: DataFrame, level: str = "1b") -> DataFram
     named = F.create_map(*[F.lit(x) for r in found for x in (r[1], f"{r[0]}\t{r[3]}")])
     there = facts.withColumn("_r", F.element_at(named, F.col("fact"))).where("_r IS NOT NULL")
     out = there.select("doc_id", F.split("_r", "\t")[0].alias("rule"), F.split("_r", "\t")[1].alias("description"), "obj_num")
-    have = facts.groupBy("doc_id").agg(F.collect_set("fact").alias("_have"))
+    asked = [r[1] for r in lacking]
+    have = facts.groupBy("doc_id").agg(F.collect_set(F.when(F.col("fact").isin(asked), F.col("fact"))).alias("_have"))  # every file has a fact
     wanted = F.array(*[F.struct(F.lit(r[1]).alias("fact"), F.lit(r[0]).alias("rule"), F.lit(r[3]).alias("description")) for r in lacking])
-    absent = docs.select("doc_id").join(have, "doc_id", "left").select("doc_id", F.coalesce("_have", F.array().cast("array<string>")).alias("_have"), F.explode(wanted).alias("w")).where(~F.array_contains("_have", F.col("w.fact")))
+    absent = have.select("doc_id", "_have", F.explode(wanted).alias("w")).where(~F.array_contains("_have", F.col("w.fact")))
     return out.unionByName(absent.select("doc_id", "w.rule", "w.description", F.lit(None).cast("int").alias("obj_num")))

@@ -146,12 +146,9 @@ def _conforming(key: int) -> bytes:
 def rt_pdfa_levels(spark, sf):
     """Every rule at three levels, over files with one fault each."""
     rows = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("doc_id"), F.col("n_nationkey").alias("k"))
-    pdf = Pdf(build(rows, ["doc_id", "k"], lambda _, key: _conforming(key)))
-    facts, docs, out = pdf.facts(), pdf.docs(), None
-    for level in ("1b", "2b", "3b"):
-        one = pdfa.violations(facts, docs, level).select("doc_id", F.lit(level).alias("level"), "rule")
-        out = one if out is None else out.unionByName(one)
-    return out
+    facts = Pdf(build(rows, ["doc_id", "k"], lambda _, key: _conforming(key))).facts()
+    levels = [pdfa.violations(facts, level).select("doc_id", F.lit(level).alias("level"), "rule") for level in ("1b", "2b", "3b")]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
 ORACLES = {

@@ -162,7 +162,7 @@ def rt_merge(spark, sf):
 
 
 def rt_pdfa_violations(spark, sf):
-    return pdfa.violations(Pdf(text_documents(spark, sf)).facts(), Pdf(text_documents(spark, sf)).docs()).groupBy("rule").agg(F.count("*").alias("n"))
+    return pdfa.violations(Pdf(text_documents(spark, sf)).facts()).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def rt_dedup_streams(spark, sf):

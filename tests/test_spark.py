@@ -31,6 +31,11 @@ def test_files_through_a_folder(spark, files, tmp_path):
     table = spark.read.format("folio").option("path", str(tmp_path)).option("relation", "spans").load()
     one = table.where(F.col("doc_id") == f"{tmp_path}/1.pdf")
     assert [r.text for r in one.orderBy("span_idx").collect()] == ["Page one", "the end"]
+    (tmp_path / "broken.pdf").write_bytes(b"junk")
+    reader = spark.read.format("folio").option("path", str(tmp_path))
+    assert [r.code for r in reader.option("relation", "errors").load().collect()] == ["InvalidXref"]
+    few = reader.option("relation", "docs").option("partition_bytes", 150_000).load()
+    assert few.count() == 4 and few.rdd.getNumPartitions() in (3, 5)
 
 
 def test_files_over_the_limit_give_an_error_row(spark, files, tmp_path):
