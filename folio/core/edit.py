@@ -7,7 +7,7 @@ from typing import Any
 
 from . import writer
 from .interp import Interpreter, concat
-from .objects import Document, Name, Ref, Stream, encode_text, operations, references, remap, text_string
+from .objects import Document, Lexer, Name, Ref, Stream, encode_text, operations, references, remap, text_string
 
 Zone = tuple[int, float, float, float, float]
 
@@ -169,11 +169,12 @@ def redact(data: bytes, zones: list[Zone], color: tuple | None = (0.0, 0.0, 0.0)
     return d.bytes()
 
 
-def _layer(d: Draft, num: int, body: bytes, font: Ref, name: str = "FW") -> None:
+def _layer(d: Draft, num: int, body: bytes, font: Ref | None = None, name: str = "FW") -> None:
     """Adds content over a page, with what is there enclosed in q and Q."""
     page = d.objects[num]
     res = dict(d.doc.resolve(page.get("Resources")) or {})
-    res["Font"] = dict(d.doc.resolve(res.get("Font")) or {}) | {name: font}
+    if font:
+        res["Font"] = dict(d.doc.resolve(res.get("Font")) or {}) | {name: font}
     was = page.get("Contents")
     was = d.doc.resolve(was) if isinstance(d.doc.resolve(was), list) else [was] if was is not None else []
     d.objects[num] = page | {"Resources": res, "Contents": [d.add(Stream({}, b"q\n")), *was, d.add(writer.flate(b"\nQ\n" + body))]}
@@ -243,6 +244,136 @@ def annotate(data: bytes, page: int, subtype: str, rect: tuple, color: tuple = (
     return d.bytes()
 
 
+def delete_annotation(data: bytes, page: int, index: int) -> bytes:
+    """Without one annotation of a page; an index that isn't there is an error."""
+    d = Draft(data)
+    num = d.flatten_tree()[page].num
+    notes = list(d.doc.resolve(d.objects[num].get("Annots")) or [])
+    del notes[index]
+    d.objects[num] = d.objects[num] | {"Annots": notes}
+    d.collect()
+    return d.bytes()
+
+
+def _drawn(d: Draft, note: dict, forms: dict) -> list[tuple[str, list]]:
+    """Operations that show an annotation: its appearance stream in its rectangle, else a plain shape by its kind."""
+    get = d.doc.resolve
+    rect = [float(get(x)) for x in get(note.get("Rect")) or (0, 0, 0, 0)]
+    x1, y1, x2, y2 = min(rect[0], rect[2]), min(rect[1], rect[3]), max(rect[0], rect[2]), max(rect[1], rect[3])
+    look = get(note.get("AP"))
+    ref = look.get("N") if isinstance(look, dict) else None
+    look = get(ref)
+    if isinstance(look, dict):  # by state
+        ref = look.get(str(get(note.get("AS"))))
+        look = get(ref)
+    if isinstance(look, Stream) and isinstance(ref, Ref):
+        box = [float(get(x)) for x in get(look.dict.get("BBox")) or (0, 0, x2 - x1, y2 - y1)]
+        m = tuple(float(get(x)) for x in get(look.dict.get("Matrix")) or (1, 0, 0, 1, 0, 0))
+        corners = [(m[0] * x + m[2] * y + m[4], m[1] * x + m[3] * y + m[5]) for x in (box[0], box[2]) for y in (box[1], box[3])]
+        left, low = min(p[0] for p in corners), min(p[1] for p in corners)
+        wide, high = max(p[0] for p in corners) - left, max(p[1] for p in corners) - low
+        sx, sy = (x2 - x1) / wide if wide else 1.0, (y2 - y1) / high if high else 1.0
+        forms[name := f"FA{len(forms)}"] = ref
+        return [("q", []), ("cm", [sx, 0, 0, sy, x1 - left * sx, y1 - low * sy]), ("Do", [Name(name)]), ("Q", [])]
+    color = [float(get(x)) for x in get(note.get("C")) or (1.0, 1.0, 0.0)]
+    paint = {1: ("g", "G"), 3: ("rg", "RG"), 4: ("k", "K")}.get(len(color))
+    kind, quads = str(get(note.get("Subtype"))), [float(get(x)) for x in get(note.get("QuadPoints")) or []]
+    if paint is None or kind in ("Link", "Popup", "Text"):
+        return []
+    boxes = [(min(q[::2]), min(q[1::2]), max(q[::2]), max(q[1::2])) for q in (quads[i : i + 8] for i in range(0, len(quads) - 7, 8))] or [(x1, y1, x2, y2)]
+    ops: list[tuple[str, list]] = [("q", []), (paint[0], color), (paint[1], color)]
+    for a, b, c, e in boxes:
+        if kind == "Highlight":
+            ops += [("re", [a, b, c - a, e - b]), ("f", [])]
+        elif kind in ("Underline", "Squiggly", "StrikeOut"):
+            y = (b + e) / 2 if kind == "StrikeOut" else b
+            ops += [("m", [a, y]), ("l", [c, y]), ("S", [])]
+    if kind == "Square":
+        ops += [("re", [x1, y1, x2 - x1, y2 - y1]), ("S", [])]
+    elif kind == "Line":
+        ends = [float(get(x)) for x in get(note.get("L")) or (x1, y1, x2, y2)]
+        ops += [("m", ends[:2]), ("l", ends[2:]), ("S", [])]
+    return [*ops, ("Q", [])]
+
+
+def flatten_annotations(data: bytes, pages: list[int] | None = None) -> bytes:
+    """Annotations but for fields become page content; hidden ones only go."""
+    d = Draft(data)
+    for i, r in enumerate(d.flatten_tree()):
+        if pages is not None and i not in pages:
+            continue
+        rest, ops, forms = [], [], {}
+        for a in d.doc.resolve(d.objects[r.num].get("Annots")) or []:
+            note = d.doc.resolve(a)
+            if isinstance(note, dict) and str(d.doc.resolve(note.get("Subtype"))) == "Widget":
+                rest.append(a)
+            elif isinstance(note, dict) and not int(d.doc.resolve(note.get("F")) or 0) & 2:
+                ops += _drawn(d, note, forms)
+        if ops:
+            res = dict(d.doc.resolve(d.objects[r.num].get("Resources")) or {})
+            d.objects[r.num] = d.objects[r.num] | {"Resources": res | {"XObject": dict(d.doc.resolve(res.get("XObject")) or {}) | forms}}
+            _layer(d, r.num, writer.content(ops))
+        d.objects[r.num] = {k: v for k, v in d.objects[r.num].items() if k != "Annots"} | ({"Annots": rest} if rest else {})
+    d.collect()
+    return d.bytes()
+
+
+def replace_text(data: bytes, page: int, old: str, x: float, y: float, new: str) -> bytes | None:
+    """The first operation on the page that shows just ``old`` near a place shows ``new``; none if there isn't one.
+
+    Near is within 2 units across and 0.6 of the font size up or down. ``new`` must be
+    Latin-1 text, or of characters that the font's map gives codes.
+    """
+    d = Draft(data)
+    num = d.flatten_tree()[page].num
+    read = Interpreter(d.doc, d.objects[num])
+    for what, op, f in read.items():
+        if what == "text" and f["text"] == old and abs(f["x"] - x) <= 2.0 and abs(f["y"] - y) <= 0.6 * f["font_size"]:
+            font = next((t for (_, key), t in read.fonts.items() if t and key == f["font_name"]), None)
+            names = {t: bytes([c]) for c, t in reversed([*enumerate(font.names)])} if font and not font.composite and font.names else {}
+            raw = b"".join(names.get(c) or c.encode("latin-1") for c in new)
+            ops = list(operations(d.doc.contents(d.objects[num])))
+            kind, args = ops[op]
+            ops[op] = ("TJ", [[raw]]) if kind == "TJ" else (kind, [*args[:-1], raw])
+            d.objects[num] = d.objects[num] | {"Contents": d.add(writer.flate(writer.content(ops)))}
+            d.collect()
+            return d.bytes()
+    return None
+
+
+def add_blank_page(data: bytes, at: int, box: tuple = (0, 0, 612, 792)) -> bytes:
+    d = Draft(data)
+    refs = d.flatten_tree()
+    tree = d.objects[d.trailer["Root"].num]["Pages"]
+    refs.insert(at, d.add({"Type": Name("Page"), "Parent": tree, "MediaBox": list(box), "Resources": {}}))
+    d.set_pages(refs)
+    return d.bytes()
+
+
+def fdf(fields: dict[str, str]) -> bytes:
+    """Form data of full names and values."""
+    body = {"FDF": {"Fields": [{"T": encode_text(k), "V": encode_text(v)} for k, v in fields.items()]}}
+    return b"%FDF-1.2\n1 0 obj\n" + writer.serialize(body) + b"\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF\n"
+
+
+def fdf_fields(data: bytes) -> dict[str, str]:
+    """Full names and values of form data; names of nested fields are joined by dots."""
+    out: dict[str, str] = {}
+    start = data.find(b"/Fields")
+    if start < 0:
+        return out
+    stack = [("", x) for x in Lexer(data[start + 7 :]).value()]
+    while stack:
+        above, x = stack.pop()
+        if isinstance(x, dict):
+            part = text_string(x.get("T")) or ""
+            full = f"{above}.{part}" if above and part else above or part
+            stack += [(full, k) for k in x.get("Kids") or []]
+            if "V" in x:
+                out[full] = str(x["V"]) if isinstance(x["V"], Name) else text_string(x["V"]) or ""
+    return out
+
+
 def fill_fields(data: bytes, values: dict[str, str]) -> bytes:
     """Sets fields by full or partial name; a checkbox takes the name of a state or Off."""
     d = Draft(data)
@@ -325,4 +456,4 @@ def outline(chapters: list[tuple[str, list[str]]]) -> bytes:
     return b.build()
 
 
-__all__ = ["annotate", "arrange_pages", "concat", "extract_pages", "fill_fields", "flatten_fields", "form", "merge", "optimize", "outline", "redact", "set_info", "set_page", "watermark"]
+__all__ = ["add_blank_page", "annotate", "arrange_pages", "concat", "delete_annotation", "fdf", "fdf_fields", "flatten_annotations", "replace_text", "extract_pages", "fill_fields", "flatten_fields", "form", "merge", "optimize", "outline", "redact", "set_info", "set_page", "watermark"]

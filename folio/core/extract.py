@@ -234,6 +234,69 @@ def names(doc: Document) -> Iterator[tuple]:
         yield "Dests", str(k), as_json(doc.resolve(v)), i
 
 
+def destinations(doc: Document) -> Iterator[tuple]:
+    """Named destinations: those of the name tree, then old ones whose name isn't there; a dictionary's /D counts."""
+    where = {num: i for i, (num, _) in enumerate(doc.pages())}
+    tables, old, seen = doc.resolve(doc.root().get("Names")), doc.resolve(doc.root().get("Dests")), set()
+    found = [(text_string(k), v) for k, v in _tree(doc, tables.get("Dests"), "Names")] if isinstance(tables, dict) else []
+    for name, v in found + [(str(k), v) for k, v in (old.items() if isinstance(old, dict) else ())]:
+        v = doc.resolve(v)
+        v = doc.resolve(v.get("D")) if isinstance(v, dict) else v
+        if name in seen or not isinstance(v, list) or not v:
+            continue
+        seen.add(name)
+        page = where.get(v[0].num) if isinstance(v[0], Ref) else v[0] if isinstance(v[0], int) else None
+        rest = [doc.resolve(x) for x in v[1:]]
+        yield name, page, str(rest[0]) if rest else None, [float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None for x in rest[1:]]
+
+
+def _script(doc: Document, action: Any) -> str | None:
+    """The text of a JavaScript action, a string or a stream."""
+    a = doc.resolve(action)
+    if not isinstance(a, dict) or str(doc.resolve(a.get("S"))) != "JavaScript":
+        return None
+    js = doc.resolve(a.get("JS"))
+    return text_string(doc.decode(js)) if isinstance(js, Stream) else text_string(js)
+
+
+def scripts(doc: Document) -> Iterator[tuple]:
+    """JavaScript by place: on opening, by name, and by event of the file, its pages, annotations and fields."""
+    root = doc.root()
+
+    def events(place: str, d: Any) -> Iterator[tuple]:
+        table = doc.resolve(d.get("AA")) if isinstance(d, dict) else None
+        for event, action in table.items() if isinstance(table, dict) else ():
+            if (js := _script(doc, action)) is not None:
+                yield place, str(event), js
+
+    if (js := _script(doc, root.get("OpenAction"))) is not None:
+        yield "catalog", "OpenAction", js
+    yield from events("catalog", root)
+    tables = doc.resolve(root.get("Names"))
+    for name, action in _tree(doc, tables.get("JavaScript"), "Names") if isinstance(tables, dict) else ():
+        if (js := _script(doc, action)) is not None:
+            yield "names", text_string(name), js
+    for i, (_, page) in enumerate(doc.pages()):
+        yield from events(f"page {i}", page)
+        for n, ref in enumerate(doc.resolve(page.get("Annots")) or []):
+            note = doc.resolve(ref)
+            if isinstance(note, dict):
+                if (js := _script(doc, note.get("A"))) is not None:
+                    yield f"annotation {i}/{n}", "A", js
+                yield from events(f"annotation {i}/{n}", note)
+
+
+def xfa(doc: Document) -> Iterator[tuple]:
+    """Packets of an XFA form in order: names and streams in turn, or one stream."""
+    form = doc.resolve(doc.root().get("AcroForm"))
+    entry = doc.resolve(form.get("XFA")) if isinstance(form, dict) else None
+    packets = [(text_string(doc.resolve(k)), v) for k, v in zip(entry[::2], entry[1::2])] if isinstance(entry, list) else [("", entry)] if entry is not None else []
+    for i, (name, body) in enumerate(packets):
+        body = doc.resolve(body)
+        if isinstance(body, Stream):
+            yield i, name, doc.decode(body).decode("utf-8", "replace")
+
+
 def struct_nodes(doc: Document) -> Iterator[tuple]:
     root = doc.resolve(doc.root().get("StructTreeRoot"))
     if not isinstance(root, dict):
@@ -334,6 +397,9 @@ RELATIONS = {
     "names": (names, "table_name string, key string, value string, pos int"),
     "struct_nodes": (struct_nodes, "path array<int>, depth int, role string, mapped_role string, alt string, mcids array<int>"),
     "signatures": (signatures, "field string, sub_filter string, byte_range array<long>, covers_whole_file boolean, sha256 string, signer string, reason string"),
+    "destinations": (destinations, "name string, page_index int, fit string, position array<double>"),
+    "scripts": (scripts, "place string, event string, script string"),
+    "xfa": (xfa, "packet int, name string, xml string"),
     "facts": (facts, "fact string, obj_num int, value string"),
 }
 

@@ -151,7 +151,79 @@ def rt_pdfa_levels(spark, sf):
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
 
 
+def rt_annotations_flatten(spark, sf):
+    """A highlight becomes a filled box of the page, and no annotation is left."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    empty = writer.text_pdf("x")
+    files = build(rows, rows.columns, lambda key, cust: edit.flatten_annotations(edit.annotate(empty, 0, "Highlight", (float(key % 500), 10.0, float(key % 500 + 20), 30.0), (0.0, 1.0, 0.0))))
+    items = Pdf(files).display_items()
+    return items.select("doc_id", "kind", *[F.get("bbox", i).alias(c) for i, c in enumerate(("x1", "y1", "x2"))], F.get("color", 1).alias("green"))
+
+
+def rt_replace_text(spark, sf):
+    """The source, written at a known place, replaced by the language."""
+
+    def one(_, source, lang):
+        return edit.replace_text(writer.text_pdf(f"{source}\n{source}"), 0, source, 72.0, 726.0, lang)
+
+    docs = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return Pdf(build(docs, docs.columns, one)).spans().select("doc_id", "span_idx", "text")
+
+
+def _named(region: str, nations: list[str]) -> bytes:
+    """A page for each nation, with destinations, scripts and form data packets by their names."""
+    b = writer.Builder()
+    pages = [b.page(b"") for _ in nations]
+    half = len(nations) // 2
+    rows = lambda some: [x for name, page in some for x in (name.encode(), [page, Name("XYZ"), 10, None, 0])]
+    pairs = list(zip(nations, pages))
+    kids = [b.add({"Names": rows(pairs[:half])}), b.add({"Names": rows(pairs[half:])})]
+    script = lambda text: {"S": Name("JavaScript"), "JS": text.encode()}
+    b.root["Names"] = {"Dests": {"Kids": kids}, "JavaScript": {"Names": [b"start", script(f"go({region})")]}}
+    b.root["Dests"] = {"old": {"D": [0, Name("Fit")]}, nations[0]: [1, Name("Fit")]}
+    b.root["OpenAction"] = script("open()")
+    b.root["AcroForm"] = {"Fields": [], "XFA": [b"template", b.add(Stream({}, b"<t/>")), b"datasets", b.add(writer.flate(f"<d>{region}</d>".encode()))]}
+    return b.build()
+
+
+def _regions(spark, sf):
+    nations = spark.read.parquet(f"{sf}/nation.parquet").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_name")).alias("below"))
+    regions = spark.read.parquet(f"{sf}/region.parquet").join(nations, F.col("r_regionkey") == F.col("k")).select(F.col("r_regionkey").alias("doc_id"), "r_name", "below")
+    return Pdf(build(regions, regions.columns, lambda _, name, below: _named(name, below)))
+
+
+def rt_named_dests(spark, sf):
+    return _regions(spark, sf).destinations().select("doc_id", "name", "page_index", "fit")
+
+
+def rt_scripts(spark, sf):
+    return _regions(spark, sf).scripts().select("doc_id", "place", "event", "script")
+
+
+def rt_xfa(spark, sf):
+    return _regions(spark, sf).xfa().select("doc_id", "name", "xml")
+
+
+def rt_fdf_import(spark, sf):
+    """Form data written, read again and filled into a form."""
+
+    def one(_, name, segment):
+        form = edit.form([{"kind": "Text", "name": "name", "value": ""}, {"kind": "Combo", "name": "segment", "value": "", "options": [segment]}])
+        return edit.fill_fields(form, edit.fdf_fields(edit.fdf({"name": name, "segment": segment})))
+
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", "c_mktsegment")
+    return Pdf(build(rows, rows.columns, one)).form_fields().select("doc_id", "full_name", "value")
+
+
 ORACLES = {
+    "rt_annotations_flatten": """SELECT o_orderkey AS doc_id, 'text' AS kind, 72.0::DOUBLE AS x1, 740.0::DOUBLE AS y1, 82.0::DOUBLE AS x2, 0.0::DOUBLE AS green FROM orders
+UNION ALL SELECT o_orderkey, 'fill', CAST(o_orderkey % 500 AS DOUBLE), 10.0, CAST(o_orderkey % 500 + 20 AS DOUBLE), 1.0 FROM orders""",
+    "rt_replace_text": "SELECT doc_id, 0 AS span_idx, source AS text FROM documents UNION ALL SELECT doc_id, 1, lang FROM documents",
+    "rt_named_dests": """SELECT n_regionkey AS doc_id, n_name AS name, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS INTEGER) AS page_index, 'XYZ' AS fit FROM nation
+UNION ALL SELECT r_regionkey, 'old', 0, 'Fit' FROM region""",
+    "rt_scripts": "SELECT r_regionkey AS doc_id, 'catalog' AS place, 'OpenAction' AS event, 'open()' AS script FROM region UNION ALL SELECT r_regionkey, 'names', 'start', 'go(' || r_name || ')' FROM region",
+    "rt_xfa": "SELECT r_regionkey AS doc_id, 'template' AS name, '<t/>' AS xml FROM region UNION ALL SELECT r_regionkey, 'datasets', '<d>' || r_name || '</d>' FROM region",
+    "rt_fdf_import": "SELECT c_custkey AS doc_id, 'name' AS full_name, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment FROM customer",
     "rt_encoded_text": f"SELECT doc_id, {TEXT.format('text')} AS text FROM documents WHERE {FULL}",
     "rt_inline_image": "SELECT doc_id, 'image' AS kind, NULL AS text, 100.0::DOUBLE AS x1, 200.0::DOUBLE AS y1 FROM documents UNION ALL SELECT doc_id, 'text', lang, 72.0, 700.0 FROM documents",
     "rt_redact_moves": "SELECT doc_id, 'text' AS kind, source AS text, 72.0::DOUBLE AS x1 FROM documents UNION ALL SELECT doc_id, 'text', CAST(doc_id AS VARCHAR), 72.0 + 10.0 * (length(source) + length(lang)) FROM documents UNION ALL SELECT doc_id, 'image', NULL, 0.0 FROM documents",

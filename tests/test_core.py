@@ -194,3 +194,27 @@ def test_clips_and_shadings():
     got = items(b"q 0 0 50 50 re W n 10 10 100 100 re W* n /S sh Q q 1 1 2 2 re W f /S sh Q /S sh")
     assert [(k, f["bbox"]) for k, f in got] == [("shading", (10.0, 10.0, 50.0, 50.0)), ("fill", (1.0, 1.0, 3.0, 3.0)), ("shading", (1.0, 1.0, 3.0, 3.0)), ("shading", (0.0, 0.0, 612.0, 792.0))]
     assert items(b"0 1 0 rg /DeviceCMYK cs 0 0 1 1 re f")[0][1]["color"] == (0.0, 0.0, 0.0)
+
+
+def test_annotations_deleted_and_flattened():
+    data = edit.annotate(edit.annotate(writer.text_pdf("x"), 0, "Square", (1, 2, 3, 4), (1.0, 0.0, 0.0)), 0, "StrikeOut", (10, 10, 30, 20), (0.0, 0.0, 1.0), quads=[10, 20, 30, 20, 10, 10, 30, 10])
+    assert [r[2] for r in RELATIONS["annotations"][0](Document(edit.delete_annotation(data, 0, 0)))] == ["StrikeOut"]
+    flat = Document(edit.flatten_annotations(data))
+    assert not list(RELATIONS["annotations"][0](flat))
+    assert [(r[3], r[4]) for r in RELATIONS["display_items"][0](flat)][1:] == [("stroke", [1, 2, 3, 4]), ("stroke", [10, 15, 30, 15])]
+    d = edit.Draft(data)
+    page = d.flatten_tree()[0].num
+    look = d.add(Stream({"Type": Name("XObject"), "Subtype": Name("Form"), "BBox": [0, 0, 10, 10]}, b"0 0 10 10 re f"))
+    d.objects[page] = d.objects[page] | {"Annots": [d.add({"Subtype": Name("Stamp"), "Rect": [100, 100, 120, 140], "AP": {"N": look}}), d.add({"Subtype": Name("Square"), "Rect": [0, 0, 9, 9], "F": 2})]}
+    flat = Document(edit.flatten_annotations(d.bytes()))
+    assert [r[4] for r in RELATIONS["display_items"][0](flat)][1:] == [[100, 100, 120, 140]]
+
+
+def test_text_replaced_pages_added_and_form_data():
+    data = writer.text_pdf("one\ntwo\none")
+    assert words(edit.replace_text(data, 0, "one", 73.0, 712.0, "néw")) == ["one", "two", "néw"]
+    assert edit.replace_text(data, 0, "one", 90.0, 712.0, "x") is None
+    more = Document(edit.add_blank_page(data, 0))
+    assert more.page_count() == 2 and [len(list(interp.Interpreter(more, p).items())) for _, p in more.pages()] == [0, 3]
+    assert edit.fdf_fields(edit.fdf({"a": "ü中", "b (c)": ""})) == {"a": "ü中", "b (c)": ""}
+    assert edit.fdf_fields(b"<< /FDF << /Fields [ << /T (p) /Kids [ << /T (q) /V /Yes >> << /T (r) /V (z) >> ] >> ] >> >>") == {"p.q": "Yes", "p.r": "z"} and edit.fdf_fields(b"junk") == {}
