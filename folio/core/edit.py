@@ -341,6 +341,37 @@ def replace_text(data: bytes, page: int, old: str, x: float, y: float, new: str)
     return None
 
 
+def xmp(title: str = "", author: str = "", part: int = 1, conformance: str = "B") -> bytes:
+    """A metadata packet that names the archival level."""
+    from xml.sax.saxutils import escape
+
+    said = f'<dc:title><rdf:Alt><rdf:li xml:lang="x-default">{escape(title)}</rdf:li></rdf:Alt></dc:title>' * bool(title) + f"<dc:creator><rdf:Seq><rdf:li>{escape(author)}</rdf:li></rdf:Seq></dc:creator>" * bool(author)
+    return (
+        '<?xpacket begin="\ufeff" id="W5M0MpCehiHzreSzNTczkc9d"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+        f'<rdf:Description rdf:about="" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:pdfaid="http://www.aiim.org/pdfa/ns/id/"><pdfaid:part>{part}</pdfaid:part><pdfaid:conformance>{conformance}</pdfaid:conformance>{said}</rdf:Description></rdf:RDF></x:xmpmeta><?xpacket end="w"?>'
+    ).encode()
+
+
+def convert_pdfa(data: bytes, level: str = "1b") -> bytes:
+    """Adds an output intent and metadata for level 1b, 2b or 3b, and drops scripts. Fonts are not embedded."""
+    d = Draft(data)
+    info = d.doc.resolve(d.doc.trailer.get("Info"))
+    said = {k: text_string(d.doc.resolve(info.get(k))) or "" for k in ("Title", "Author")} if isinstance(info, dict) else {"Title": "", "Author": ""}
+    num = d.trailer["Root"].num
+    root = {k: v for k, v in d.objects[num].items() if k != "AA"}
+    action = d.doc.resolve(root.get("OpenAction"))
+    if isinstance(action, dict) and str(d.doc.resolve(action.get("S"))) == "JavaScript":
+        del root["OpenAction"]
+    tables = d.doc.resolve(root.get("Names"))
+    if isinstance(tables, dict) and "JavaScript" in tables:
+        root["Names"] = {k: v for k, v in tables.items() if k != "JavaScript"}
+    root["Metadata"] = d.add(Stream({"Type": Name("Metadata"), "Subtype": Name("XML")}, xmp(said["Title"], said["Author"], int(level[0]), level[1:].upper())))
+    root["OutputIntents"] = [{"Type": Name("OutputIntent"), "S": Name("GTS_PDFA1"), "OutputConditionIdentifier": b"sRGB", "Info": b"sRGB"}]
+    d.objects[num] = root
+    d.collect()
+    return d.bytes()
+
+
 def add_blank_page(data: bytes, at: int, box: tuple = (0, 0, 612, 792)) -> bytes:
     d = Draft(data)
     refs = d.flatten_tree()
@@ -456,4 +487,4 @@ def outline(chapters: list[tuple[str, list[str]]]) -> bytes:
     return b.build()
 
 
-__all__ = ["add_blank_page", "annotate", "arrange_pages", "concat", "delete_annotation", "fdf", "fdf_fields", "flatten_annotations", "replace_text", "extract_pages", "fill_fields", "flatten_fields", "form", "merge", "optimize", "outline", "redact", "set_info", "set_page", "watermark"]
+__all__ = ["add_blank_page", "annotate", "arrange_pages", "concat", "convert_pdfa", "xmp", "delete_annotation", "fdf", "fdf_fields", "flatten_annotations", "replace_text", "extract_pages", "fill_fields", "flatten_fields", "form", "merge", "optimize", "outline", "redact", "set_info", "set_page", "watermark"]

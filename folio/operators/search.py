@@ -40,8 +40,9 @@ def _boxes(found: DataFrame, keys: list[str], whole: bool) -> DataFrame:
         union = F.transform(F.array(each), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.transform(t, lambda x: x.text), "").alias("text"), most(t, "x1", F.array_min), most(t, "y1", F.array_min), most(t, "x2", F.array_max), most(t, "y2", F.array_max)))
         return F.get(union, 0)
 
-    hits = F.filter(F.transform("m", box), lambda h: h.n > 0)
-    rows = found.select(*keys, F.posexplode(hits).alias("hit_idx", "h"))
+    # kept in a struct that isn't taken apart: the filter on the array's size that the optimizer puts in would compute it twice
+    hits = F.get(F.transform(F.array(F.filter(F.transform("m", box), lambda h: h.n > 0)), lambda h: F.struct(h.alias("h"))), 0)
+    rows = found.select(*keys, hits.alias("_b")).select(*keys, F.posexplode("_b.h").alias("hit_idx", "h"))
     return rows.select(*keys, "hit_idx", "h.text", "h.x1", "h.y1", "h.x2", "h.y2")
 
 

@@ -7,10 +7,11 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from folio.core import edit, encoding, filters, writer
-from folio.core.objects import Name, Stream
+from folio.core.objects import Document, Name, Stream
 from folio.operators import layout, pdfa
-from folio.plans.documents import FULL, TEXT, table
-from folio.sources.pdf import Pdf, build, flat_map
+from folio.plans.documents import FULL, TEXT, table, text_documents
+from folio.sources.pdf import Pdf, build, flat_map, text_files
+from folio.streaming.progressive import Progressive
 
 _NAMES = {text: name for name, text in encoding.GLYPHS.items()}
 _ACCENTS = {mark: name for name, mark in encoding.ACCENTS.items() if name != "commaaccent"}
@@ -215,7 +216,37 @@ def rt_fdf_import(spark, sf):
     return Pdf(build(rows, rows.columns, one)).form_fields().select("doc_id", "full_name", "value")
 
 
+def rt_pdfa_convert(spark, sf):
+    """Converted files break no rule, and their metadata has the title."""
+    from folio.functions.editing import xmp
+
+    made = text_files(table(spark, sf, "documents"), info={"Title": "source", "Author": "lang"})
+    pdf = Pdf(build(made, ["doc_id", "content"], lambda _, data: edit.convert_pdfa(data, "2b")))
+    packet = F.decode("data", "UTF-8")
+    found = pdf.streams().where(packet.contains("pdfaid:part")).select("doc_id", xmp(packet).alias("x"))
+    broken = pdfa.violations(pdf.facts(), "2b").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return found.join(broken, "doc_id", "left").select("doc_id", "x.title", "x.creator", F.coalesce("n", F.lit(0)).alias("n_violations"))
+
+
+def rt_progressive(spark, sf):
+    """The second page, or the only one, of files fed in the ranges that were asked for."""
+
+    def one(_, data):
+        held, rounds = Progressive(len(data)), 0
+        page = min(1, Document(data).page_count() - 1)
+        while lacking := held.needed(page):
+            rounds += 1
+            for a, b in lacking:
+                held.feed(a, data[a:b])
+        return held.page_document(page)
+
+    pages = Pdf(build(text_documents(spark, sf), ["doc_id", "content"], one))
+    return layout.document_text(layout.page_text(layout.lines(layout.words(layout.lines_of_spans(pages.spans())))))
+
+
 ORACLES = {
+    "rt_pdfa_convert": "SELECT doc_id, source AS title, lang AS creator, 0 AS n_violations FROM documents",
+    "rt_progressive": "SELECT doc_id, string_agg(line, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) WHERE line <> '' AND n // 40 = CASE WHEN len(string_split(text, chr(10))) > 40 THEN 1 ELSE 0 END GROUP BY doc_id",
     "rt_annotations_flatten": """SELECT o_orderkey AS doc_id, 'text' AS kind, 72.0::DOUBLE AS x1, 740.0::DOUBLE AS y1, 82.0::DOUBLE AS x2, 0.0::DOUBLE AS green FROM orders
 UNION ALL SELECT o_orderkey, 'fill', CAST(o_orderkey % 500 AS DOUBLE), 10.0, CAST(o_orderkey % 500 + 20 AS DOUBLE), 1.0 FROM orders""",
     "rt_replace_text": "SELECT doc_id, 0 AS span_idx, source AS text FROM documents UNION ALL SELECT doc_id, 1, lang FROM documents",

@@ -218,3 +218,31 @@ def test_text_replaced_pages_added_and_form_data():
     assert more.page_count() == 2 and [len(list(interp.Interpreter(more, p).items())) for _, p in more.pages()] == [0, 3]
     assert edit.fdf_fields(edit.fdf({"a": "ü中", "b (c)": ""})) == {"a": "ü中", "b (c)": ""}
     assert edit.fdf_fields(b"<< /FDF << /Fields [ << /T (p) /Kids [ << /T (q) /V /Yes >> << /T (r) /V (z) >> ] >> ] >> >>") == {"p.q": "Yes", "p.r": "z"} and edit.fdf_fields(b"junk") == {}
+
+
+@pytest.mark.parametrize("options", [{}, {"xref_stream": True}, {"compress": False}])
+def test_pages_of_a_file_fed_in_parts(options):
+    from folio.streaming.progressive import Progressive
+
+    text = "\n".join(f"line {i} " + "x" * 300 for i in range(4000))
+    data = writer.text_pdf(text, **options)
+    for page in (0, 57, 99):
+        held, fed = Progressive(len(data)), 0
+        assert not held.ready(page)
+        for _ in range(20):
+            lacking = held.needed(page)
+            if not lacking:
+                break
+            for a, b in lacking:
+                held.feed(a, data[a:b])
+                fed += b - a
+        assert words(held.page_document(page)) == text.split("\n")[40 * page : 40 * page + 40]
+        assert fed < len(data) or options
+    with pytest.raises(PdfError):
+        held.needed(100)
+
+
+def test_archival_files():
+    data = edit.convert_pdfa(writer.text_pdf("x", {"Title": "a < b", "Author": "c"}), "3b")
+    facts = {r[0] for r in RELATIONS["facts"][0](Document(data))}
+    assert {"catalog/Metadata", "catalog/OutputIntents"} <= facts and words(data) == ["x"] and b"<pdfaid:part>3</pdfaid:part>" in data and b"a &lt; b" in data
