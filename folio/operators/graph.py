@@ -98,13 +98,27 @@ def missing_ranges(needed: DataFrame, cached: DataFrame, keys: list[str]) -> Dat
     return marked.where(F.col("_b").isNull() | (F.col("_b") < F.col("end"))).select(*keys, "first", "end").distinct()
 
 
-def governing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, columns: list[str]) -> DataFrame:
-    """Adds the columns of the range with the greatest start at or before each point: an as-of join by one window."""
-    mark = lambda df, kind, by: df.select(*keys, F.col(by).alias("_at"), F.lit(kind).alias("_kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(dict(ranges.dtypes)[c]).alias(c) for c in columns], (F.struct(*points.columns) if kind else F.lit(None).cast(points.select(F.struct(*points.columns).alias("s")).schema[0].dataType)).alias("_row"))
+def governing(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, columns: list[str], cell: float | None = None) -> DataFrame:
+    """Adds the columns of the range with the greatest start at or before each point: an as-of join by one window.
+
+    With ``cell`` places are numbers and a key is cut into cells of that width, so
+    a key with very many rows is many windows; what governs at a cell's beginning
+    is the last range of the cells before it, one row for each cell.
+    """
+    place = (lambda c: F.floor(F.col(c) / cell)) if cell else (lambda c: F.lit(0).cast("long"))
+    mark = lambda df, kind, by: df.select(*keys, place(by).alias("_cell"), F.col(by).alias("_at"), F.lit(kind).alias("_kind"), *[F.col(c) if c in df.columns else F.lit(None).cast(dict(ranges.dtypes)[c]).alias(c) for c in columns], (F.struct(*points.columns) if kind else F.lit(None).cast(points.select(F.struct(*points.columns).alias("s")).schema[0].dataType)).alias("_row"))
     both = mark(ranges, 0, start).unionByName(mark(points, 1, at))
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_cell").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("_kind") == 0, F.struct(*columns)), ignorenulls=True).over(w)
-    return both.withColumn("_g", last).where("_kind = 1").select("_row.*", *[F.col(f"_g.{c}").alias(c) for c in columns])
+    found = both.withColumn("_g", last).where("_kind = 1")
+    if cell:
+        # of equal starts the one that the windows take isn't fixed either
+        ends = both.groupBy(*keys, "_cell").agg(F.max_by(F.when(F.col("_kind") == 0, F.struct(*columns)), F.when(F.col("_kind") == 0, F.col("_at"))).alias("_last"))
+        before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        same = F.struct(*keys, "_cell")
+        carried = ends.select(same.alias("_key"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+        found = found.withColumn("_own", same).join(carried, F.col("_own").eqNullSafe(F.col("_key")), "left").withColumn("_g", F.coalesce("_g", "_carried"))
+    return found.select("_row.*", *[F.col(f"_g.{c}").alias(c) for c in columns])
 
 
 def inherited(nodes: DataFrame, keys: list[str], node: str, parent: str, value: str, depth: int = 100) -> DataFrame:

@@ -66,7 +66,7 @@ def k_asof_label(spark, sf):
     """The governing range of each order's day: the supplier range with the greatest start."""
     points = read(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 10).alias("g"), F.col("o_totalprice").alias("at"))
     ranges = read(spark, sf, "supplier").select((F.col("s_suppkey") % 10).alias("g"), (F.col("s_suppkey") * 700).cast("double").alias("start"), "s_name")
-    return graph.governing(points, ranges, ["g"], "at", "start", ["s_name"]).select("o_orderkey", "s_name")
+    return graph.governing(points, ranges, ["g"], "at", "start", ["s_name"], cell=20_000).select("o_orderkey", "s_name")
 
 
 def k_pdf_date(spark, sf):

@@ -82,6 +82,15 @@ def test_regex_hits_of_many_pages(files):
     assert search.search_regex(words, "nowhere").count() == 0
 
 
+@pytest.mark.parametrize("cell", [None, 1, 7, 1000])
+def test_governing_ranges(spark, cell):
+    points = [(k, at) for k in (1, 2, None) for at in range(-5, 120, 3)]
+    ranges = [(1, 0, "a"), (1, 30, "b"), (1, 31, "c"), (1, 100, "d"), (2, 50, "e"), (None, 9, "f")]
+    got = graph.governing(spark.createDataFrame(points, "k int, at int"), spark.createDataFrame(ranges, "k int, start int, name string"), ["k"], "at", "start", ["name"], cell=cell)
+    want = [(k, at, max(((s, n) for r, s, n in ranges if r == k and s <= at), default=(0, None))[1]) for k, at in points]
+    assert sorted(((r.k, r.at, r.name) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_missing_ranges(spark):
     cached = spark.createDataFrame([(1, 0, 10), (1, 10, 30), (1, 50, 60), (2, 5, 6)], "k int, first long, end long")
     needed = spark.createDataFrame([(1, 0, 30), (1, 0, 31), (1, 40, 41), (1, 50, 55), (1, 50, 55), (2, 5, 6), (2, 0, 1), (3, 1, 2)], "k int, first long, end long")
