@@ -93,7 +93,7 @@ def rt_form_fields(spark, sf):
 
 def rt_form_fill(spark, sf):
     filled = build(_forms(spark, sf), ["doc_id", "content"], lambda key, data: edit.fill_fields(data, {"name": f"filled {key}", "good": "Yes"}))
-    return Pdf(filled).form_fields().where("full_name <> 'segment'").select("doc_id", "full_name", "value", "checked")
+    return Pdf(filled).form_fields().select("doc_id", "full_name", "value", "checked")
 
 
 def rt_form_flatten(spark, sf):
@@ -249,7 +249,7 @@ FROM (SELECT *, unnest(range(1, length(line) - 1)) AS i FROM ({PER_PAGE}) WHERE
     "rt_form_fields": """SELECT c_custkey AS doc_id, 'name' AS full_name, 'Text' AS field_type, c_name AS value, false AS checked, 0 AS n_options FROM customer
 UNION ALL SELECT c_custkey, 'good', 'Checkbox', CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'Off' END, c_acctbal > 0, 0 FROM customer
 UNION ALL SELECT c_custkey, 'segment', 'Combo', c_mktsegment, false, 2 FROM customer""",
-    "rt_form_fill": """SELECT c_custkey AS doc_id, 'name' AS full_name, 'filled ' || c_custkey AS value, false AS checked FROM customer UNION ALL SELECT c_custkey, 'good', 'Yes', true FROM customer""",
+    "rt_form_fill": """SELECT c_custkey AS doc_id, 'name' AS full_name, 'filled ' || c_custkey AS value, false AS checked FROM customer UNION ALL SELECT c_custkey, 'good', 'Yes', true FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, false FROM customer""",
     "rt_form_flatten": "SELECT c_custkey AS doc_id, 0 AS span_idx, c_name AS text FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer",
     "rt_fdf_export": """SELECT c_custkey AS doc_id, '<field name="name"><value>' || c_name || '</value></field><field name="good"><value>' || CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'Off' END || '</value></field><field name="segment"><value>' || c_mktsegment || '</value></field>' AS xfdf FROM customer""",
     "rt_outline": """SELECT r_regionkey AS doc_id, 0 AS depth, 0 AS place, r_name AS title, 0 AS dest_page, true AS open FROM region

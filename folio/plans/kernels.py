@@ -176,11 +176,6 @@ def k_xref_newest_wins(spark, sf):
     return graph.newest(o, ["o_custkey", "o_orderstatus"], [F.desc("o_orderkey")])
 
 
-def k_xref_subsections(spark, sf):
-    o = read(spark, sf, "orders").where("o_custkey % 3 <> 0").select((F.col("o_orderkey") % 7).alias("g"), F.floor(F.col("o_orderkey") / 7).alias("n"))
-    return graph.runs(o, ["g"], "n")
-
-
 def k_xref_subsections_all(spark, sf):
     """Runs over all orders, in use or free."""
     o = read(spark, sf, "orders").select((F.col("o_orderkey") % 7).alias("g"), (F.col("o_custkey") % 3 != 0).alias("in_use"), F.floor(F.col("o_orderkey") / 7).alias("n"))
@@ -255,13 +250,6 @@ def s_xml_escape(spark, sf):
     return p.select("page_id", F.md5("escaped").alias("md5"), F.md5(text.xml_unescape(F.col("escaped"))).alias("back"))
 
 
-def s_text_strings(spark, sf):
-    """Document strings coded in Latin-1 or UTF-16 and decoded."""
-    d = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 50)).otherwise(F.concat(F.lit("中"), F.substring("text", 1, 50))).alias("t"))
-    coded = d.withColumn("raw", text.encode_text(F.col("t")))
-    return coded.select("doc_id", F.octet_length("raw").alias("n_bytes"), text.decode_text(F.col("raw")).alias("back"))
-
-
 def s_text_strings_whole(spark, sf):
     """Whole texts coded in Latin-1 or UTF-16 and decoded; every second one ends with a character outside Latin-1."""
     t = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("中")))
@@ -293,6 +281,12 @@ def k_wrap_lines(spark, sf):
     return p.select("p_partkey", F.array_join("l", " ").alias("name"), F.exists("l", lambda x: (F.length(x) > 12) & x.contains(" ")).alias("too_long"))
 
 
+def k_wrap_greedy(spark, sf):
+    """Names, types and brands broken into lines of 12 characters, against a fold over words."""
+    lines = editing.wrap(F.concat_ws(" ", "p_name", "p_type", "p_brand"), F.lit(120.0), 10.0)
+    return read(spark, sf, "part").select("p_partkey", F.array_join(lines, "|").alias("lines"))
+
+
 def k_xfdf_import(spark, sf):
     name = F.concat(F.col("c_name"), F.lit(" <&> \""))
     x = F.concat(F.lit('<xfdf><fields><field name="n"><value>'), text.xml_escape(name), F.lit('</value></field><field name="empty"></field><field name="s"><value>'), F.col("c_mktsegment"), F.lit("</value></field></fields></xfdf>"))
@@ -345,7 +339,6 @@ FROM (SELECT p_partkey, n, {_ROMAN} AS r, CASE WHEN n > 702 THEN chr(CAST(65 + (
 SELECT k, first, first + 40 AS "end" FROM (SELECT o_custkey % 100 AS k, o_orderkey * 10 AS first FROM orders WHERE o_orderstatus <> 'O') n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.k = n.k AND c.a <= n.first AND c.b >= n.first + 40)""",
     "k_object_len": "SELECT o_custkey, o_orderkey * 37 AS offset, CAST(CASE WHEN lead(o_orderkey) OVER w IS NULL THEN 65536 ELSE least((lead(o_orderkey) OVER w) * 37 - o_orderkey * 37, 65536) END AS BIGINT) AS est_len FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)",
     "k_xref_newest_wins": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus",
-    "k_xref_subsections": "SELECT g, min(n) AS first, count(*) AS count FROM (SELECT g, n, n - row_number() OVER (PARTITION BY g ORDER BY n) AS r FROM (SELECT o_orderkey % 7 AS g, o_orderkey // 7 AS n FROM orders WHERE o_custkey % 3 <> 0)) GROUP BY g, r",
     "k_xref_subsections_all": "SELECT g, in_use, min(n) AS first, count(*) AS count FROM (SELECT g, in_use, n, n - row_number() OVER (PARTITION BY g, in_use ORDER BY n) AS r FROM (SELECT o_orderkey % 7 AS g, o_custkey % 3 <> 0 AS in_use, o_orderkey // 7 AS n FROM orders)) GROUP BY g, in_use, r",
     "g_reachable": "SELECT CAST(1 AS BIGINT) AS dst_obj UNION ALL SELECT 100 + n_nationkey FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 1000 + c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 10000000 + o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1",
     "g_unreachable": "SELECT CAST(100 + n_nationkey AS BIGINT) AS dst_obj FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 1000 + c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1 UNION ALL SELECT 10000000 + o_orderkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey IS DISTINCT FROM 1",
@@ -357,12 +350,15 @@ SELECT k, first, first + 40 AS "end" FROM (SELECT o_custkey % 100 AS k, o_orderk
     "s_operator_histogram": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 15",
     "s_html_text": "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g')) AS text FROM pages",
     "s_xml_escape": f"SELECT page_id, md5({_XML}) AS md5, md5(html) AS back FROM pages",
-    "s_text_strings": "SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN length(t) ELSE 2 + 2 * length(t) END AS INTEGER) AS n_bytes, t AS back FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE '中' || substr(text, 1, 50) END AS t FROM documents)",
     "s_text_strings_whole": r"SELECT doc_id, CAST(CASE WHEN regexp_full_match(t, '[\x{00}-\x{FF}]*') AND NOT starts_with(t, 'þÿ') AND NOT starts_with(t, 'ï»¿') THEN length(t) ELSE 2 + 2 * (length(t) + length(regexp_replace(t, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) END AS INTEGER) AS n_bytes, length(t) AS n_chars, md5(t) AS md5 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE text || '中' END AS t FROM documents)",
     "s_real_and_name": "SELECT l_orderkey, l_linenumber, CASE WHEN r IN ('-0', '') THEN '0' ELSE r END AS real, '/' || l_returnflag || '#20#28' || l_linestatus || '#29#23#C3#A9' AS name FROM (SELECT *, regexp_replace(printf('%.6f', l_discount - 0.05), '\\.?0+$', '') AS r FROM lineitem)",
     "k_caret_offsets": """SELECT l_orderkey, sum(q) AS width, CAST(arg_min(n, abs(c - 40) * 1000 + n) AS INTEGER) AS hit FROM (SELECT l_orderkey, l_quantity AS q, row_number() OVER w AS n, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) UNION ALL SELECT DISTINCT l_orderkey, 0.0::DOUBLE, 0, 0.0::DOUBLE FROM lineitem) GROUP BY l_orderkey""",
     "k_decorations": "SELECT p_partkey, round(greatest(p_size * 0.05::DOUBLE, 0.5::DOUBLE), 6) AS thickness, round(p_size * 0.12::DOUBLE, 6) AS underline, round(p_size * 0.3::DOUBLE, 6) AS strike FROM part",
     "k_wrap_lines": "SELECT p_partkey, p_name AS name, false AS too_long FROM part",
+    "k_wrap_greedy": """WITH RECURSIVE p AS (SELECT p_partkey, string_split(concat_ws(' ', p_name, p_type, p_brand), ' ') AS w FROM part),
+r AS (SELECT p_partkey, w, 1 AS i, w[1] AS line, CAST([] AS VARCHAR[]) AS done FROM p
+UNION ALL SELECT p_partkey, w, i + 1, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 12 THEN line || ' ' || w[i + 1] ELSE w[i + 1] END, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 12 THEN done ELSE list_append(done, line) END FROM r WHERE i < len(w))
+SELECT p_partkey, array_to_string(list_append(done, line), '|') AS lines FROM r WHERE i = len(w)""",
     "k_xfdf_import": """SELECT c_custkey, unnest(['n', 'empty', 's']) AS name, unnest([c_name || ' <&> "', NULL, c_mktsegment]) AS value FROM customer""",
     "k_xmp": "SELECT doc_id, source AS title, lang AS producer, CAST(NULL AS VARCHAR) AS creator FROM documents",
     "x_event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
