@@ -62,6 +62,7 @@ def utc_time(ts: Column) -> Column:
 
 def roman(n: Column) -> Column:
     """Upper-case roman numerals of 1 to 4999; other numbers stay decimal."""
+    # Roman numerals.
     values = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s")) for v, s in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I"))])
     start = F.struct(n.cast("int").alias("n"), F.lit("").alias("s"))
     spelled = F.aggregate(values, start, lambda a, x: F.struct((a.n % x.v).cast("int").alias("n"), F.concat(a.s, F.repeat(x.s, F.floor(a.n / x.v).cast("int"))).alias("s")), lambda a: a.s)
