@@ -73,25 +73,25 @@ class Decontaminator:
         own = lambda w, f: F.when(f.kind > 0, F.size(w) == f.kind).otherwise(F.size(w) >= window)
         around = lambda w, f: F.struct(f.kind.alias("kind"), f.h.alias("h"), self._around(w, f.pos).alias("there"))
         each = let(w, lambda w: F.transform(F.filter(_fingerprints(w, window, gram, short), lambda f: own(w, f)), lambda f: around(w, f)))
-        prints = items.select("item_id", F.explode(each).alias("f"))
+        # arrays are exploded out of a struct: the filter on their size that the optimizer puts in would compute them twice
+        prints = items.select("item_id", let(each, lambda f: F.struct(f.alias("f"))).alias("both")).select("item_id", F.inline("both.f"))
         # a window that many items share is one row
-        known = prints.select("item_id", "f.*").groupBy("kind", "h", "there").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+        known = prints.groupBy("kind", "h", "there").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
         known = scratch.keep(known, "known")
         keys = known.select("kind", "h").distinct().withColumn("known", F.lit(True))
 
         texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
         itself = F.array(F.struct(F.lit(0).alias("pos"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("h")))
         both = let(w, lambda w: F.struct(F.size(w).alias("n_words"), F.concat(itself, _fingerprints(w, window, gram, short)).alias("f")))
-        places = texts.select("id", "key", both.alias("both")).select("id", "key", "both.n_words", "both.f")
-        places = places.select("id", "key", "n_words", F.explode("f").alias("f")).select("id", "key", "n_words", "f.*")
+        places = texts.select("id", "key", both.alias("both")).select("id", "key", "both.n_words", F.inline("both.f"))
         if keys.count() <= self.broadcast_rows:
             keys = F.broadcast(keys)
         found = scratch.keep(places.join(keys, ["kind", "h"], "left").where("kind = -1 OR known").drop("known"), "found")
 
         hits = found.where("kind >= 0").groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key")).agg(F.collect_set(F.struct("pos", "kind", "h")).alias("hits"))  # of one text
         again = texts.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key"))).dropDuplicates(["id", "key"])
-        here = let(w, lambda w: F.transform("hits", lambda x: F.struct(x.pos.alias("pos"), x.kind.alias("kind"), x.h.alias("h"), self._around(w, x.pos).alias("here"))))
-        placed = again.select("id", "key", here.alias("f")).select("id", "key", F.explode("f").alias("f")).select("id", "key", "f.*").join(known, ["kind", "h"])
+        here = let(w, lambda w: F.struct(F.transform("hits", lambda x: F.struct(x.pos.alias("pos"), x.kind.alias("kind"), x.h.alias("h"), self._around(w, x.pos).alias("here"))).alias("f")))
+        placed = again.select("id", "key", here.alias("both")).select("id", "key", F.inline("both.f")).join(known, ["kind", "h"])
         # equal words at both sides; the gram is verified too
         same = F.transform(index(F.lit(window + side)), lambda i: F.coalesce(F.element_at("here", i) == F.element_at("there", i), F.lit(False)))
         placed = placed.withColumn("same", same).drop("here", "there")
