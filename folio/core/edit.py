@@ -180,13 +180,26 @@ def _layer(d: Draft, num: int, body: bytes, font: Ref | None = None, name: str =
     d.objects[num] = page | {"Resources": res, "Contents": [d.add(Stream({}, b"q\n")), *was, d.add(writer.flate(b"\nQ\n" + body))]}
 
 
+def _font_for(d: Draft, texts: list[str]) -> tuple[Ref, dict[str, int]]:
+    """A standard font whose codes from 128 on are given, by glyph names, to what of the texts isn't ASCII; the first 128 such characters."""
+    more = list(dict.fromkeys(c for t in texts for c in t if ord(c) > 126))[:128]
+    font: dict = {"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")}
+    if more:
+        font["Encoding"] = {"Type": Name("Encoding"), "BaseEncoding": Name("WinAnsiEncoding"), "Differences": [128, *(Name(f"uni{ord(c):04X}" if ord(c) < 0x10000 else f"u{ord(c):X}") for c in more)]}
+    return d.add(font), {c: 128 + i for i, c in enumerate(more)}
+
+
+def _coded(text: str, codes: dict[str, int]) -> bytes:
+    return bytes(codes.get(c, ord(c) if ord(c) < 127 else 63) for c in text)
+
+
 def watermark(data: bytes, text: str, size: float = 48, angle: float = 45, gray: float = 0.8, tile: tuple[float, float] | None = None) -> bytes:
     """Text over each page: once in the middle, or on a grid of ``tile`` steps."""
     import math
 
     d = Draft(data)
     refs = d.flatten_tree()
-    font = d.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")})
+    font, codes = _font_for(d, [text])
     c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
     for r in refs:
         box = [float(d.doc.resolve(x)) for x in d.doc.resolve(d.objects[r.num].get("MediaBox")) or (0, 0, 612, 792)]
@@ -194,7 +207,7 @@ def watermark(data: bytes, text: str, size: float = 48, angle: float = 45, gray:
         at = [(box[0] + w / 2, box[1] + h / 2)] if not tile else [(box[0] + x * tile[0], box[1] + y * tile[1]) for y in range(math.ceil(h / tile[1])) for x in range(math.ceil(w / tile[0]))]
         ops = [("q", []), ("g", [gray]), ("BT", []), ("Tf", [Name("FW"), size])]
         for x, y in at:
-            ops += [("Tm", [c, s, -s, c, x, y]), ("Tj", [text.encode("latin-1", "replace")])]
+            ops += [("Tm", [c, s, -s, c, x, y]), ("Tj", [_coded(text, codes)])]
         _layer(d, r.num, writer.content([*ops, ("ET", []), ("Q", [])]), font)
     d.collect()
     return d.bytes()
@@ -426,15 +439,15 @@ def flatten_fields(data: bytes) -> bytes:
     """Text of fields becomes page content; fields and their widgets go."""
     d = Draft(data)
     refs = d.flatten_tree()
-    font = d.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Helvetica")})
     for r in refs:
         notes = d.doc.resolve(d.objects[r.num].get("Annots")) or []
         widgets = [w for a in notes if isinstance(w := d.doc.resolve(a), dict) and d.doc.resolve(w.get("Subtype")) == "Widget"]
+        shown = [(text_string(v) or "", rect) for w in widgets if isinstance(v := d.doc.resolve(w.get("V")), bytes) and (rect := d.doc.resolve(w.get("Rect")))]
         ops: list = []
-        for w in widgets:
-            value, rect = d.doc.resolve(w.get("V")), d.doc.resolve(w.get("Rect"))
-            if isinstance(value, bytes) and rect:
-                ops += [("BT", []), ("Tf", [Name("FW"), 10]), ("Td", [rect[0] + 2, rect[1] + 3]), ("Tj", [(text_string(value) or "").encode("latin-1", "replace")]), ("ET", [])]
+        if shown:
+            font, codes = _font_for(d, [t for t, _ in shown])
+            for value, rect in shown:
+                ops += [("BT", []), ("Tf", [Name("FW"), 10]), ("Td", [rect[0] + 2, rect[1] + 3]), ("Tj", [_coded(value, codes)]), ("ET", [])]
         if ops:
             _layer(d, r.num, writer.content(ops), font)
         rest = [a for a in notes if not isinstance(w := d.doc.resolve(a), dict) or d.doc.resolve(w.get("Subtype")) != "Widget"]

@@ -246,3 +246,9 @@ def test_archival_files():
     data = edit.convert_pdfa(writer.text_pdf("x", {"Title": "a < b", "Author": "c"}), "3b")
     facts = {r[0] for r in RELATIONS["facts"][0](Document(data))}
     assert {"catalog/Metadata", "catalog/OutputIntents"} <= facts and words(data) == ["x"] and b"<pdfaid:part>3</pdfaid:part>" in data and b"a &lt; b" in data
+
+
+def test_flattened_fields_and_marks_keep_all_characters():
+    data = edit.form([{"kind": "Text", "name": "a", "value": "ü中 €😀x"}, {"kind": "Text", "name": "b", "value": "plain"}])
+    assert words(edit.flatten_fields(data)) == ["ü中 €😀x", "plain"]
+    assert words(edit.watermark(writer.text_pdf("x"), "Žą"))[-1] == "Žą"
