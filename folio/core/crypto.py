@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
 
 # Padding of short passwords, from the file format.
@@ -65,7 +66,6 @@ def _times(k: int) -> bytes:
 
 
 _M2, _M3, _M9, _M11, _M13, _M14 = (_times(k) for k in (2, 3, 9, 11, 13, 14))
-_SHIFT = [(i + 4 * (i % 4)) % 16 for i in range(16)]
 _UNSHIFT = [(i - 4 * (i % 4)) % 16 for i in range(16)]
 
 
@@ -88,22 +88,43 @@ _T0 = [_M2[x] << 24 | x << 16 | x << 8 | _M3[x] for x in _S]
 _T1, _T2, _T3 = ([(t >> n | t << (32 - n)) & 0xFFFFFFFF for t in _T0] for n in (8, 16, 24))
 
 
-def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
-    """One block; a round is four table lookups a column."""
-    def columns(x: bytes) -> list[int]:
-        return [int.from_bytes(x[i : i + 4], "big") for i in (0, 4, 8, 12)]
+def _columns(x: bytes) -> tuple[int, ...]:
+    return struct.unpack(">4I", x)
+
 
-    a, b, c, d = (x ^ y for x, y in zip(columns(block), columns(keys[0])))
-    for key in keys[1:-1]:
-        k = columns(key)
+def _chained(round_keys: list[bytes], iv: bytes, data: bytes) -> bytes:
+    """Whole blocks, each combined with the one before; a round is four table lookups a column."""
+    keys = [_columns(k) for k in round_keys]
+    first, middle, last = keys[0], keys[1:-1], keys[-1]
+    t0, t1, t2, t3, sub = _T0, _T1, _T2, _T3, _S
+    a, b, c, d = _columns(iv)
+    out = []
+    for i in range(0, len(data), 16):
+        w, x, y, z = _columns(data[i : i + 16])
+        a, b, c, d = a ^ w ^ first[0], b ^ x ^ first[1], c ^ y ^ first[2], d ^ z ^ first[3]
+        for p, q, r, s in middle:
+            a, b, c, d = (
+                t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ p,
+                t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ q,
+                t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ r,
+                t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ s,
+            )
         a, b, c, d = (
-            _T0[a >> 24] ^ _T1[b >> 16 & 255] ^ _T2[c >> 8 & 255] ^ _T3[d & 255] ^ k[0],
-            _T0[b >> 24] ^ _T1[c >> 16 & 255] ^ _T2[d >> 8 & 255] ^ _T3[a & 255] ^ k[1],
-            _T0[c >> 24] ^ _T1[d >> 16 & 255] ^ _T2[a >> 8 & 255] ^ _T3[b & 255] ^ k[2],
-            _T0[d >> 24] ^ _T1[a >> 16 & 255] ^ _T2[b >> 8 & 255] ^ _T3[c & 255] ^ k[3],
+            (sub[a >> 24] << 24 | sub[b >> 16 & 255] << 16 | sub[c >> 8 & 255] << 8 | sub[d & 255]) ^ last[0],
+            (sub[b >> 24] << 24 | sub[c >> 16 & 255] << 16 | sub[d >> 8 & 255] << 8 | sub[a & 255]) ^ last[1],
+            (sub[c >> 24] << 24 | sub[d >> 16 & 255] << 16 | sub[a >> 8 & 255] << 8 | sub[b & 255]) ^ last[2],
+            (sub[d >> 24] << 24 | sub[a >> 16 & 255] << 16 | sub[b >> 8 & 255] << 8 | sub[c & 255]) ^ last[3],
         )
-    s = b"".join(x.to_bytes(4, "big") for x in (a, b, c, d))
-    return bytes(_S[s[_SHIFT[i]]] ^ keys[-1][i] for i in range(16))
+        out += (a, b, c, d)
+    return struct.pack(f">{len(out)}I", *out)
+
+
+def _encrypt_block(keys: list[bytes], block: bytes) -> bytes:
+    return _chained(keys, bytes(16), block)
+
+
+def cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
+    return _chained(_round_keys(key), iv, data)
 
 
 def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
@@ -120,14 +141,6 @@ def _decrypt_block(keys: list[bytes], block: bytes) -> bytes:
     return bytes(s)
 
 
-def cbc_encrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
-    keys, out = _round_keys(key), bytearray()
-    for i in range(0, len(data), 16):
-        iv = _encrypt_block(keys, bytes(a ^ b for a, b in zip(data[i : i + 16], iv)))
-        out += iv
-    return bytes(out)
-
-
 def cbc_decrypt(key: bytes, iv: bytes, data: bytes) -> bytes:
     keys, out = _round_keys(key), bytearray()
     for i in range(0, len(data) - 15, 16):
