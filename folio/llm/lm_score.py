@@ -37,7 +37,7 @@ from ._store import Scratch
 
 ORDER, ALPHA, UNSEEN = 2, 0.4, 0.5
 #: Bytes of text in a block, and for each hash range.
-BLOCK_BYTES, RANGE_BYTES = 3 << 20, 2 << 20
+BLOCK_BYTES, RANGE_BYTES = 6 << 20, 2 << 20
 
 
 class _Block:
