@@ -144,7 +144,7 @@ def slices(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
 class Bpe:
     """Ranks of one vocabulary, with a cache of slices that takes about ``cached`` bytes."""
 
-    def __init__(self, ranks_file: bytes, cached: int = 40_000_000):
+    def __init__(self, ranks_file: bytes, cached: int = 80_000_000):
         lines = map(bytes.split, ranks_file.splitlines())
         self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.pieces = {b: a for a, b in ranks.items()}
@@ -298,7 +298,7 @@ def _bpe(ranks_file: bytes) -> Bpe:
     return _loaded[key]
 
 
-def _some(column: pa.Array, size: int = 1 << 18) -> Iterator[list[str]]:
+def _some(column: pa.Array, size: int = 1 << 19) -> Iterator[list[str]]:
     part: list[str] = []
     total = 0
     for x in column:
