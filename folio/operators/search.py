@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.sources.pdf import flat_map
+
 PAGE = ["doc_id", "page_index"]
 
 
@@ -22,28 +25,53 @@ def _haystacks(words: DataFrame, keys: list[str]) -> DataFrame:
     return pages.select(*keys, "w", F.concat_ws("", F.transform("w", lambda w: F.concat(w.text, F.lit(" ")))).alias("text"))
 
 
-def _boxes(found: DataFrame, keys: list[str], whole: bool) -> DataFrame:
-    """Hits (keys, hit_idx, text, x1, y1, x2, y2) of a page's matches m (s, e), in order: the union of touched words.
+def _cut(whole: bool, a: list, text: list, x: list, y: list, width: list, size: list, matches: Iterator[tuple[int, int]]) -> Iterator[tuple]:
+    """(text, x1, y1, x2, y2) of each match (s, e) that touches a word; a word's place is looked up, not searched for."""
+    ends = [i + len(t) for i, t in zip(a, text)]
+    known = lambda values: [v for v in values if v is not None]
+
+    def left(i: int, s: int) -> float | None:
+        if whole or x[i] is None or width[i] is None:
+            return x[i]
+        return x[i] + width[i] / max(len(text[i]), 1) * max(s - a[i], 0)
+
+    def right(i: int, e: int) -> float | None:
+        if x[i] is None or width[i] is None:
+            return None
+        return x[i] + width[i] if whole else x[i] + width[i] / max(len(text[i]), 1) * (min(e, ends[i]) - a[i])
+
+    def top(i: int) -> float | None:
+        return None if y[i] is None or size[i] is None else y[i] + size[i]
+
+    for s, e in matches:
+        first, last = bisect_right(ends, s), bisect_left(a, e)
+        if last - first == 1:
+            yield text[first], left(first, s), y[first], right(first, e), top(first)
+        elif first < last:
+            some = range(first, last)
+            x1, y1 = known(left(i, s) for i in some), known(y[i] for i in some)
+            x2, y2 = known(right(i, e) for i in some), known(map(top, some))
+            yield "".join(text[first:last]), min(x1, default=None), min(y1, default=None), max(x2, default=None), max(y2, default=None)
+
+
+def _boxes(found: DataFrame, keys: list[str], whole: bool, places: list[str], matches: Callable[..., Iterator[tuple[int, int]]]) -> DataFrame:
+    """Hits (keys, hit_idx, text, x1, y1, x2, y2) of a page's ``matches(*places)`` (s, e), in order: the union of touched words.
 
     Words are cut in proportion to characters unless ``whole``; the text is that
-    of the touched words, without blanks. Words stay in the page's row.
+    of the touched words, without blanks. Work grows with words and hits of a
+    page, not with their product.
     """
-    per_char = lambda w: w.width / F.greatest(F.length(w.text), F.lit(1))
-    end = lambda w: w.a + F.length(w.text)
-    left = (lambda m, w: w.x) if whole else (lambda m, w: w.x + per_char(w) * F.greatest(m.s - w.a, F.lit(0)))
-    right = (lambda m, w: w.x + w.width) if whole else (lambda m, w: w.x + per_char(w) * (F.least(m.e, end(w)) - w.a))
+    parts, kinds = ("a", "text", "x", "y", "width", "font_size"), dict(found.dtypes)
+    n = len(keys)
 
-    def box(m: Column) -> Column:
-        touched = F.filter("w", lambda w: (end(w) > m.s) & (w.a < m.e))
-        each = F.transform(touched, lambda w: F.struct(w.text.alias("text"), left(m, w).alias("x1"), w.y.alias("y1"), right(m, w).alias("x2"), (w.y + w.font_size).alias("y2")))
-        most = lambda t, c, f: f(F.transform(t, lambda x: x[c])).alias(c)
-        union = F.transform(F.array(each), lambda t: F.struct(F.size(t).alias("n"), F.array_join(F.transform(t, lambda x: x.text), "").alias("text"), most(t, "x1", F.array_min), most(t, "y1", F.array_min), most(t, "x2", F.array_max), most(t, "y2", F.array_max)))
-        return F.get(union, 0)
+    def each(*values: Any) -> Iterator[tuple]:
+        above, w, of = values[1:n], values[n : n + len(parts)], values[n + len(parts) :]
+        for i, hit in enumerate(_cut(whole, *w, matches(*of))):
+            yield (*above, i, *hit)
 
-    # kept in a struct that isn't taken apart: the filter on the array's size that the optimizer puts in would compute it twice
-    hits = F.get(F.transform(F.array(F.filter(F.transform("m", box), lambda h: h.n > 0)), lambda h: F.struct(h.alias("h"))), 0)
-    rows = found.select(*keys, hits.alias("_b")).select(*keys, F.posexplode("_b.h").alias("hit_idx", "h"))
-    return rows.select(*keys, "hit_idx", "h.text", "h.x1", "h.y1", "h.x2", "h.y2")
+    rows = found.select(*keys, *[F.col(f"w.{c}").cast("array<double>" if c in ("x", "y", "width", "font_size") else "array<string>" if c == "text" else "array<int>").alias(f"_{c}") for c in parts], *places)
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys[1:]) + "hit_idx int, text string, x1 double, y1 double, x2 double, y2 double"
+    return flat_map(rows, rows.columns, schema, each)
 
 
 def search(words: DataFrame, query: str, case_sensitive: bool = True, keys: list[str] | None = None) -> DataFrame:
@@ -55,15 +83,16 @@ def search(words: DataFrame, query: str, case_sensitive: bool = True, keys: list
     keys = keys or PAGE
     pages = _haystacks(words, keys)
     if not query:
-        return _boxes(pages.limit(0).withColumn("m", F.array().cast("array<struct<s:int,e:int>>")), keys, False)
+        return _boxes(pages.limit(0), keys, False, [], lambda: iter(()))
     want = ("" if case_sensitive else "(?iu)") + "(?={})".format("".join(f"\\x{{{ord(c):X}}}" for c in query))
     # a cut before every match, overlapping ones too; all pieces but the first begin with one
     lengths = F.transform(F.split("text", want), lambda x: F.length(x))
     places = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, n: F.struct((a.at + n).alias("at"), F.concat(a.all, F.array(a.at)).alias("all")), lambda a: a.all)
     # pages without the query aren't looked at further
     cut = pages.where(F.col("text").rlike(want)).select(*keys, "w", F.col("text").rlike(f"\\A{want}").alias("_first"), places.alias("_at"))
-    starts = F.filter("_at", lambda s, i: (i > 0) | F.col("_first"))
-    return _boxes(cut.select(*keys, "w", F.transform(starts, lambda s: F.struct(s.alias("s"), (s + len(query)).alias("e"))).alias("m")), keys, False)
+    starts = cut.select(*keys, "w", F.filter("_at", lambda s, i: (i > 0) | F.col("_first")).alias("_s"))
+    size = len(query)
+    return _boxes(starts, keys, False, ["_s"], lambda at: ((s, s + size) for s in at))
 
 
 _REJECTED = re.compile(r"\\[1-9]|\(\?(?:=|!|<=|<!|P=)")
@@ -72,25 +101,15 @@ _REJECTED = re.compile(r"\\[1-9]|\(\?(?:=|!|<=|<!|P=)")
 def search_regex(words: DataFrame, pattern: str, case_sensitive: bool = True, keys: list[str] | None = None) -> DataFrame:
     """Hits of a regular expression, not overlapping; boxes take whole words.
 
-    Look-around and back-references aren't in the dialect. Offsets need Python,
-    which gets each page once and adds a list of them.
+    Look-around and back-references aren't in the dialect.
     """
     keys = keys or PAGE
     if _REJECTED.search(pattern):
         raise ValueError("look-around and back-references aren't supported")
     compiled = re.compile(pattern, 0 if case_sensitive else re.IGNORECASE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-        for batch in batches:
-            found = [[{"s": m.start(), "e": m.end()} for m in compiled.finditer(text or "") if m.end() > m.start()] for text in batch["text"].to_pylist()]
-            some = pa.array([bool(x) for x in found], pa.bool_())
-            names = [*keys, "w"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, kind)], [*names, "m"]).filter(some)
-
-    pages = _haystacks(words, keys)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.drop("text").schema)
-    return _boxes(pages.mapInArrow(run, f"{schema}, m array<struct<s:int,e:int>>"), keys, True)
+    pages = _haystacks(words, keys).withColumnRenamed("text", "_page")
+    return _boxes(pages, keys, True, ["_page"], lambda text: (m.span() for m in compiled.finditer(text or "") if m.end() > m.start()))
 
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str, first: str, end: str, cell: float) -> DataFrame:

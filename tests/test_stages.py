@@ -94,3 +94,27 @@ def test_tables_of_few_row_groups_are_dealt_out(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     dealt = documents.table(spark, str(tmp_path), "documents").groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in dealt) == 40_000 and max(r["count"] for r in dealt) <= 12_000
+
+
+def test_words_of_hits_are_looked_up():
+    """Against a search through all words, as boxes were found before."""
+    from random import Random
+
+    from folio.operators.search import _cut
+
+    rng = Random(5)
+    for whole in (False, True):
+        text = ["x" * rng.randint(0, 4) for _ in range(30)]
+        a = [sum(len(t) + 1 for t in text[:i]) for i in range(30)]
+        x, y, width, size = ([rng.randint(1, 99) / 8 for _ in text] for _ in range(4))
+        matches = [(s, s + rng.randint(1, 12)) for s in range(a[-1])]
+        want = []
+        for s, e in matches:
+            some = [i for i in range(30) if a[i] + len(text[i]) > s and a[i] < e]
+            per = [w / max(len(t), 1) for w, t in zip(width, text)]
+            if some:
+                x1 = min(x[i] + (0 if whole else per[i] * max(s - a[i], 0)) for i in some)
+                x2 = max(x[i] + (width[i] if whole else per[i] * (min(e, a[i] + len(text[i])) - a[i])) for i in some)
+                want.append(("".join(text[i] for i in some), x1, min(y[i] for i in some), x2, max(y[i] + size[i] for i in some)))
+        assert list(_cut(whole, a, text, x, y, width, size, iter(matches))) == want
+    assert list(_cut(False, [0], ["ab"], [None], [1.0], [2.0], [3.0], iter([(0, 1)]))) == [("ab", None, 1.0, None, 4.0)]
