@@ -25,10 +25,11 @@ def violations(facts: DataFrame, level: str = "1b") -> DataFrame:
     found = [r for r in rules if not r[2]]
     lacking = [r for r in rules if r[2]]
     named = F.create_map(*[F.lit(x) for r in found for x in (r[1], f"{r[0]}\t{r[3]}")])
-    there = facts.withColumn("_r", F.element_at(named, F.col("fact"))).where("_r IS NOT NULL")
-    out = there.select("doc_id", F.split("_r", "\t")[0].alias("rule"), F.split("_r", "\t")[1].alias("description"), "obj_num")
     asked = [r[1] for r in lacking]
-    have = facts.groupBy("doc_id").agg(F.collect_set(F.when(F.col("fact").isin(asked), F.col("fact"))).alias("_have"))  # every file has a fact
-    wanted = F.array(*[F.struct(F.lit(r[1]).alias("fact"), F.lit(r[0]).alias("rule"), F.lit(r[3]).alias("description")) for r in lacking])
-    absent = have.select("doc_id", "_have", F.explode(wanted).alias("w")).where(~F.array_contains("_have", F.col("w.fact")))
-    return out.unionByName(absent.select("doc_id", "w.rule", "w.description", F.lit(None).cast("int").alias("obj_num")))
+    # facts are read once: of a file, what they break and which of those asked for are there; every file has a fact
+    broken = F.when(F.element_at(named, F.col("fact")).isNotNull(), F.struct(F.element_at(named, F.col("fact")).alias("_r"), F.col("obj_num").cast("int").alias("obj_num")))
+    have = facts.groupBy("doc_id").agg(F.collect_list(broken).alias("_broken"), F.collect_set(F.when(F.col("fact").isin(asked), F.col("fact"))).alias("_have"))
+    wanted = F.array(*[F.struct(F.lit(r[1]).alias("fact"), F.lit(f"{r[0]}\t{r[3]}").alias("_r")) for r in lacking])
+    absent = F.transform(F.filter(wanted, lambda w: ~F.array_contains("_have", w["fact"])), lambda w: F.struct(w["_r"].alias("_r"), F.lit(None).cast("int").alias("obj_num")))
+    out = have.select("doc_id", F.explode(F.concat("_broken", absent)).alias("w"))
+    return out.select("doc_id", F.split("w._r", "\t")[0].alias("rule"), F.split("w._r", "\t")[1].alias("description"), "w.obj_num")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.core import edit, writer
 from folio.core.extract import RELATIONS
 from folio.core.objects import Document, Keyword, Lexer, Name, PdfError, Ref, operations
-from folio.operators import layout
+from folio.operators import layout, pdfa
 from folio.plans import documents
 from folio.sources import pdf as source
 from folio.sources.pdf import Pdf, build, flat_map, text_files
@@ -78,6 +78,17 @@ def test_files_built_changed_and_read_in_one_stage(spark):
     assert stages(odd.docs()) == 2 and odd.docs().count() == 2
 
 
+def test_conformance_reads_facts_once(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    found = pdfa.violations(Pdf(text_files(docs)).facts("fact", "obj_num"))
+    assert stages(found) == 1 and found.columns == ["doc_id", "rule", "description", "obj_num"]
+    assert sorted((r.doc_id, r.rule, r.obj_num) for r in found.collect()) == [(i, rule, None) for i in (1, 2, 3) for rule in ("6.2.3", "6.7.2")]
+    some = spark.createDataFrame([(1, "file", None), (1, "font/missing", 7), (1, "font/missing", 8), (1, "catalog/Metadata", None), (2, "file", None), (2, "extgstate/transparent", 9), (2, "catalog/OutputIntents", None)], "doc_id long, fact string, obj_num int")
+    rows = lambda level: sorted((r.doc_id, r.rule, r.obj_num) for r in pdfa.violations(some, level).collect())
+    assert rows("2b") == [(1, "6.2.2", 7), (1, "6.2.2", 8), (1, "6.2.3", None), (2, "6.7.2", None)]
+    assert rows("1b") == [*rows("2b")[:3], (2, "6.4.1", 9), (2, "6.7.2", None)]
+
+
 def test_a_file_that_cant_be_made_fails_the_job_and_one_that_cant_be_read_gives_no_rows(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     cut = build(text_files(docs), ["doc_id", "content"], lambda key, data: data if key == 1 else b"junk")
