@@ -109,6 +109,37 @@ def test_files_built_changed_and_read_in_one_stage(spark):
     assert stages(odd.docs()) == 2 and odd.docs().count() == 2
 
 
+def test_relations_of_a_file_in_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    made = build(text_files(docs), ["doc_id", "content"], lambda key, data: edit.set_info(data, {"Title": f"t{key}"}))
+    both = Pdf(made).together(metadata=["title", "subject"], xref=["section", "offset"])
+    assert stages(both) == 1 and both.columns == ["doc_id", "metadata", "xref"]
+    rows = {r.doc_id: r for r in both.collect()}
+    for name, columns in (("metadata", ["title", "subject"]), ("xref", ["section", "offset"])):
+        apart = sorted(map(str, Pdf(made).relation(name, *columns).collect()))
+        assert apart == sorted(str(r) for r in both.select("doc_id", F.inline(name)).collect())
+    assert rows[2].metadata[0].title == "t2" and {x.section for x in rows[2].xref} == {0, 1}
+    # a file that can't be opened gives no row, a relation that fails is null, and with strict the job fails
+    odd = build(docs, ["doc_id", "text"], lambda key, text: b"no file" if key == 1 else writer.text_pdf(text))
+    monkeypatch.setitem(RELATIONS, "docs", (lambda doc: (1 // (doc.page_count() - 1) for _ in range(1)), "n_bytes long"))
+    assert [tuple(r) for r in sorted(Pdf(odd).together(docs=["n_bytes"], metadata=["title"]).collect())] == [(2, None, [(None,)]), (3, None, [(None,)])]
+    with pytest.raises(Exception, match="InvalidXref|ZeroDivision"):
+        Pdf(odd, strict=True).together(docs=["n_bytes"]).collect()
+
+
+def test_rows_of_structs_count_with_what_they_hold():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(20))})
+    each = lambda k: iter([([{"data": b"x" * (source.HELD_BYTES // 4)}],)])
+    kinds = [pa.int64(), pa.list_(pa.struct([("data", pa.binary())]))]
+    assert [b.num_rows for b in source._rows_of(iter([batch]), each, ["k", "parts"], kinds, 4096)] == [4] * 5
+
+
+def test_queries_of_two_relations_read_files_once(spark):
+    sf = "/root/testdata/sf0.001"
+    for query in (documents.rt_incremental,):
+        assert stages(query(spark, sf)) == 1, query.__name__
+
+
 def test_conformance_reads_facts_once(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     found = pdfa.violations(Pdf(text_files(docs)).facts("fact", "obj_num"))
