@@ -221,11 +221,10 @@ def rt_pdfa_convert(spark, sf):
     from folio.functions.editing import xmp
 
     made = text_files(table(spark, sf, "documents"), info={"Title": "source", "Author": "lang"})
-    pdf = Pdf(build(made, ["doc_id", "content"], lambda _, data: edit.convert_pdfa(data, "2b")))
-    packet = F.decode("data", "UTF-8")
-    found = pdf.streams("data").where(packet.contains("pdfaid:part")).select("doc_id", xmp(packet).alias("x"))
-    broken = pdfa.violations(pdf.facts("fact", "obj_num"), "2b").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return found.join(broken, "doc_id", "left").select("doc_id", "x.title", "x.creator", F.coalesce("n", F.lit(0)).alias("n_violations"))
+    files = Pdf(build(made, ["doc_id", "content"], lambda _, data: edit.convert_pdfa(data, "2b"))).together(streams=["data"], facts=["fact", "obj_num"])
+    found = files.select("doc_id", "facts", F.inline("streams")).withColumn("packet", F.decode("data", "UTF-8")).where(F.col("packet").contains("pdfaid:part"))
+    n = F.coalesce(pdfa.n_violations(F.col("facts"), "2b"), F.lit(0))
+    return found.select("doc_id", xmp(F.col("packet")).alias("x"), n.alias("n_violations")).select("doc_id", "x.title", "x.creator", "n_violations")
 
 
 def rt_progressive(spark, sf):

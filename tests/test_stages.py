@@ -9,7 +9,7 @@ from folio.core import edit, writer
 from folio.core.extract import RELATIONS
 from folio.core.objects import Document, Keyword, Lexer, Name, PdfError, Ref, operations
 from folio.operators import layout, pdfa
-from folio.plans import documents
+from folio.plans import details, documents
 from folio.sources import pdf as source
 from folio.sources.pdf import Pdf, build, flat_map, text_files
 
@@ -136,10 +136,21 @@ def test_rows_of_structs_count_with_what_they_hold():
 
 def test_queries_of_two_relations_read_files_once(spark):
     sf = "/root/testdata/sf0.001"
-    for query in (documents.rt_incremental,):
+    for query in (documents.rt_incremental, details.rt_pdfa_convert):
         assert stages(query(spark, sf)) == 1, query.__name__
 
 
+def test_counts_of_violations_by_the_facts_of_a_file(spark):
+    rows = [(1, "file", None), (1, "font/missing", 7), (1, "font/missing", 8), (1, "catalog/Metadata", None), (2, "file", None), (2, "extgstate/transparent", 9), (2, "catalog/OutputIntents", None)]
+    some = spark.createDataFrame(rows, "doc_id long, fact string, obj_num int")
+    whole = some.groupBy("doc_id").agg(F.collect_list(F.struct("fact", "obj_num")).alias("facts"))
+    for level in ("1b", "2b"):
+        wanted = {r.doc_id: r["count"] for r in pdfa.violations(some, level).groupBy("doc_id").count().collect()}
+        assert {r.doc_id: r.n for r in whole.select("doc_id", pdfa.n_violations(F.col("facts"), level).alias("n")).collect()} == wanted
+    none = spark.createDataFrame([(3, None)], "doc_id long, facts array<struct<fact: string, obj_num: int>>")
+    assert none.select(pdfa.n_violations(F.col("facts")).alias("n")).first().n is None
+
+
 def test_conformance_reads_facts_once(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     found = pdfa.violations(Pdf(text_files(docs)).facts("fact", "obj_num"))
